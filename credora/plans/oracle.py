@@ -412,3 +412,32 @@ cu AS (SELECT model, n0, n1, coalesce(sum(n0) OVER (PARTITION BY model ORDER BY
 SELECT model, sum(n1 * (b0 + n0 / 2.0)) / (max(t0) * max(t1)) AS auc FROM cu GROUP BY 1""", ["auc"])
 oracle("prediction_shares", f"SELECT prediction AS value, count(*) AS count, count(*) / sum(count(*)) OVER () AS share "
        f"FROM ({PRED}) GROUP BY 1", ["share"])
+
+# ------------------------------------------------------------------ projection / resampling
+oracle("pca_variance", f""", c AS (SELECT abs(corr(person_age, cb_person_cred_hist_length)) AS r FROM loans)
+#SELECT
+SELECT 1 AS component, (1 + r) / 2 AS variance_ratio, (1 + r) / 2 AS cumulative FROM c
+UNION ALL SELECT 2, (1 - r) / 2, 1.0 FROM c""", ["variance_ratio", "cumulative"])
+_MF = "SELECT id, loan_percent_income AS f1, loan_int_rate / 10 AS f2, loan_status FROM loans"
+_KNN = f""", mf AS ({_MF}), m AS (SELECT * FROM mf WHERE loan_status = 1),
+pr AS (SELECT a.id, b.id AS nn_id, (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) AS d2
+       FROM m a JOIN m b ON a.id <> b.id),
+knn AS (SELECT id, CAST(nn_rank AS BIGINT) AS nn_rank, nn_id, sqrt(d2) AS dist FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nn_id) AS nn_rank FROM pr) WHERE nn_rank <= 5)"""
+oracle("knn_minority", f"{_KNN}\n#SELECT\nSELECT * FROM knn", ["dist"])
+oracle("smote", f"""{_KNN},
+rk AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || CAST(id AS VARCHAR)), id) - 1 AS rank0 FROM m),
+par AS (SELECT CAST(sum(CASE WHEN loan_status = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_min,
+        CAST(floor(0.5 * sum(CASE WHEN loan_status = 0 THEN 1 ELSE 0 END) - sum(CASE WHEN loan_status = 1 THEN 1 ELSE 0 END))
+        AS BIGINT) AS new FROM mf),
+g AS (SELECT rk.*, n_min, j.j FROM rk, par,
+      LATERAL (SELECT unnest(range(0, new // n_min + CASE WHEN rank0 < new % n_min THEN 1 ELSE 0 END)) AS j) j),
+h AS (SELECT g.*, md5('42-' || CAST(id AS VARCHAR) || '-' || CAST(j AS VARCHAR)) AS hx FROM g),
+s AS (SELECT h.*, (('0x' || substr(hx, 1, 8))::BIGINT % 5) + 1 AS nn_rank,
+      ('0x' || substr(hx, 9, 8))::BIGINT / 4294967296.0 AS u FROM h)
+#SELECT
+SELECT id, f1, f2, loan_status, 0 AS synthetic FROM mf
+UNION ALL
+SELECT -(1 + s.rank0 + s.j * s.n_min) AS id, s.f1 + s.u * (n.f1 - s.f1), s.f2 + s.u * (n.f2 - s.f2),
+  CAST(1 AS BIGINT), 1 FROM s JOIN knn ON knn.id = s.id AND knn.nn_rank = s.nn_rank JOIN m n ON n.id = knn.nn_id""",
+       ["f1", "f2"])

@@ -431,3 +431,47 @@ def q_model_comparison(spark, sf):
 @query("prediction_shares")
 def q_prediction_shares(spark, sf):
     return metrics.prediction_shares(_pred(spark, sf), "prediction")
+
+
+# ------------------------------------------------------------------ projection / resampling
+from credora.operators import knn as knn_ops, pca as pca_ops  # noqa: E402
+
+KNN_FEATURES = ["f1", "f2"]
+
+
+def _minority_features(spark, sf):
+    """All loans with the two kNN features: loan_percent_income and loan_int_rate / 10."""
+    return loans(spark, sf).select("id", F.col("loan_percent_income").alias("f1"),
+                                   (F.col("loan_int_rate") / 10).alias("f2"), LABEL)
+
+
+@query("pca_variance")
+def q_pca_variance(spark, sf):
+    return pca_ops.pca_variance(loans(spark, sf), ["person_age", "cb_person_cred_hist_length"])
+
+
+@query("pca_project")
+def q_pca_project(spark, sf):
+    return pca_ops.pca_project(loans(spark, sf), NUMERIC, k=3, keep=["id", LABEL])
+
+
+@query("pca_keep_variance")
+def q_pca_keep_variance(spark, sf):
+    df = features.impute_median(loans(spark, sf), ["person_emp_length"])
+    train = sample.stratified_split(df, LABEL).where("split = 'train'")
+    sc = scale.fit_robust(train, NUMERIC)
+    frames, _, _ = pca_ops.pca_keep_variance(sc.transform(train), NUMERIC, 0.95,
+                                             keep=["id", LABEL])
+    return frames[0]
+
+
+@query("knn_minority")
+def q_knn_minority(spark, sf):
+    mino = _minority_features(spark, sf).where(F.col(LABEL) == 1)
+    return knn_ops.knn(mino, KNN_FEATURES, k=5).select(
+        "id", F.col("nn_rank").cast("bigint").alias("nn_rank"), "nn_id", "dist")
+
+
+@query("smote")
+def q_smote(spark, sf):
+    return knn_ops.smote(_minority_features(spark, sf), KNN_FEATURES, LABEL, 1, 0.5, 5, 42)
