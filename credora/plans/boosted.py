@@ -78,8 +78,8 @@ def early_stop_fit(train: DataFrame, feature_cols: list[str], label: str = "loan
 
     marked = stratified_split(train, label, holdout_frac, seed, split_col="_es") \
         .withColumn("_is_val", F.col("_es") == "test").drop("_es")
-    est = gbt_estimator(label, preset, seed, **overrides) \
-        .setValidationIndicatorCol("_is_val").setValidationTol(tol)
+    est = gbt_estimator(label, preset, seed, **overrides)
+    est.setParams(validationIndicatorCol="_is_val", validationTol=tol)
     return fit_pipeline(marked, feature_cols, est)
 
 

@@ -441,3 +441,10 @@ UNION ALL
 SELECT -(1 + s.rank0 + s.j * s.n_min) AS id, s.f1 + s.u * (n.f1 - s.f1), s.f2 + s.u * (n.f2 - s.f2),
   CAST(1 AS BIGINT), 1 FROM s JOIN knn ON knn.id = s.id AND knn.nn_rank = s.nn_rank JOIN m n ON n.id = knn.nn_id""",
        ["f1", "f2"])
+
+# ------------------------------------------------------------------ tiny fixed net
+oracle("mlp_score", f""", mf AS ({_MF}),
+h AS (SELECT id, f1 * 1.5 + f2 * 0.25 + (-0.2) AS z1, f1 * (-0.5) + f2 * 0.75 + 0.1 AS z2 FROM mf),
+a AS (SELECT id, CASE WHEN z1 > 0 THEN z1 ELSE 0.01 * z1 END AS a1, CASE WHEN z2 > 0 THEN z2 ELSE 0.01 * z2 END AS a2 FROM h)
+#SELECT
+SELECT id, 1 / (1 + exp(-(a1 * 2.0 + a2 * (-1.0) + (-0.3)))) AS score FROM a""", ["score"])

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -475,3 +477,130 @@ def q_knn_minority(spark, sf):
 @query("smote")
 def q_smote(spark, sf):
     return knn_ops.smote(_minority_features(spark, sf), KNN_FEATURES, LABEL, 1, 0.5, 5, 42)
+
+
+# ------------------------------------------------------------------ models (rows-only checks)
+# Check-sized runs: the reference's tree counts (200-900 trees, 36 fits per stack) are the
+# presets of the API; registered queries use CHECK_ITERS trees so the whole suite stays short.
+from credora.plans import boosted, mlp as mlp_plan, stack as stack_plan  # noqa: E402
+from credora.plans.system import CreditSystem  # noqa: E402
+
+CHECK_ITERS = 10
+
+
+def _model_frames(spark, sf):
+    """(train, valid, feature columns): engineered, encoded, robust-scaled loans."""
+    s = CreditSystem()
+    prepared = s.prepare(loans(spark, sf), fit=True)
+    split = sample.stratified_split(prepared, LABEL, 0.2, 42)
+    train = split.where("split = 'train'").drop("split")
+    valid = split.where("split = 'test'").drop("split")
+    sc = scale.fit_robust(train, s.feature_cols)
+    return sc.transform(train), sc.transform(valid), s.feature_cols
+
+
+@query("gbt_classifier")
+def q_gbt(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = boosted.gbt_classifier(tr, cols, LABEL, "a", maxIter=CHECK_ITERS)
+    return boosted.predict(m, va, keep=["id", LABEL])
+
+
+@query("gbt_subsampled")
+def q_gbt_subsampled(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = boosted.gbt_subsampled(tr, cols, LABEL, maxIter=CHECK_ITERS)
+    return boosted.predict(m, va, keep=["id", LABEL])
+
+
+@query("early_stop_fit")
+def q_early_stop(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = boosted.early_stop_fit(tr, cols, LABEL, maxIter=CHECK_ITERS)
+    return boosted.predict(m, va, keep=["id", LABEL])
+
+
+@query("predict_proba")
+def q_predict_proba(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = boosted.gbt_classifier(tr, cols, LABEL, "a", maxIter=CHECK_ITERS)
+    scored = boosted.predict(m, va, keep=["id", LABEL])
+    return scored.select("id", "score", "prediction")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    tr, _, cols = _model_frames(spark, sf)
+    m = boosted.gbt_classifier(tr, cols, LABEL, "a", maxIter=CHECK_ITERS)
+    return boosted.feature_importance(m, cols, 10)
+
+
+@query("cross_val_auc")
+def q_cross_val_auc(spark, sf):
+    tr, _, cols = _model_frames(spark, sf)
+    return boosted.cross_val_auc(
+        tr, cols, lambda: boosted.gbt_estimator(LABEL, "a", maxIter=CHECK_ITERS), LABEL, k=5)
+
+
+@query("oof_scores")
+def q_oof_scores(spark, sf):
+    tr, _, cols = _model_frames(spark, sf)
+    return stack_plan.oof_scores(tr, cols, stack_plan.default_learners(LABEL, 42, 3), LABEL, k=5)
+
+
+@query("stack_predict")
+def q_stack_predict(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = stack_plan.stack_fit(tr, cols, LABEL, stack_plan.default_learners(LABEL, 42, 3),
+                             lambda: boosted.gbt_estimator(LABEL, "meta", maxIter=3), k=5, valid=va)
+    return m.predict(va, keep=[LABEL])
+
+
+@query("stack_cv")
+def q_stack_cv(spark, sf):
+    tr, _, cols = _model_frames(spark, sf)
+    return stack_plan.stack_cv(tr, cols, LABEL, stack_plan.default_learners(LABEL, 42, 2),
+                               lambda: boosted.gbt_estimator(LABEL, "meta", maxIter=2), k=2)
+
+
+@query("mlp_train")
+def q_mlp_train(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = mlp_plan.mlp_train(tr, cols, LABEL, "small_a", epochs=3, batches_per_epoch=4, test=va)
+    return mlp_plan.history_frame(spark, m)
+
+
+# A tiny 2-2-1 net for the cross-engine scoring check.
+TINY_NET = [np.array([[1.5, -0.5], [0.25, 0.75]]), np.array([-0.2, 0.1]),
+            np.array([[2.0], [-1.0]]), np.array([-0.3])]
+
+
+@query("mlp_score")
+def q_mlp_score(spark, sf):
+    net = mlp_plan.MLP(["f1", "f2"], [2], TINY_NET)
+    return net.score(_minority_features(spark, sf), keep=["id"])
+
+
+@query("system_train")
+def q_system_train(spark, sf):
+    s = CreditSystem(model_params={"maxIter": CHECK_ITERS})
+    return s.train(loans(spark, sf))["classification_report"]
+
+
+@query("system_predict")
+def q_system_predict(spark, sf):
+    df = loans(spark, sf)
+    s = CreditSystem(model_params={"maxIter": CHECK_ITERS}, use_smote=False, balanced_weights=True,
+                     variant="full", use_pca=True)
+    s.train(df)
+    return s.predict(df.drop(LABEL))
+
+
+@query("save_load_system")
+def q_save_load(spark, sf):
+    df = loans(spark, sf)
+    s = CreditSystem(model_params={"maxIter": CHECK_ITERS}, use_smote=False)
+    s.train(df)
+    path = scratch_path(spark, "system")
+    s.save(path)
+    return CreditSystem.load(path).predict(df.drop(LABEL))
