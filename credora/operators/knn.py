@@ -5,7 +5,7 @@ No all-pairs join: points meet only the points of neighbouring grid cells.
 1. Exact duplicates collapse to one group (key: the coordinates) that keeps its k+1
    smallest ids, found with a salted two-step top-k so a group holding a third of
    the rows is still ranked in many tasks.
-2. Level-0 cell width is halved until no cell holds more than ``max_cell`` groups.
+2. Grid coordinates: the point itself (d <= 2) or its top two principal axes. Level-0 cell width is halved until no cell holds more than ``max_cell`` groups.
 3. At level t (width w * 2^t) every open query group joins the groups of its 3^g
    neighbouring cells (g grid dimensions), keeps its k+1 nearest (distance, id), and
    is certified when the (k+1)-th distance is below the distance to the edge of the
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from credora.operators.sample import hash_rank
 
 MAX_CELL = 256
+GRID_DIMS = 2
 SALTS = 16
 MAX_LEVELS = 64
 
@@ -39,14 +41,6 @@ def _sq_dist(a: list[Column], b: list[Column]) -> Column:
     return acc
 
 
-def _grid_dims(pts: DataFrame, X: list[str], n: int = 2) -> list[int]:
-    """Indices of the (at most n) coordinates with the largest variance."""
-    if len(X) <= n:
-        return list(range(len(X)))
-    row = pts.agg(*[F.var_pop(c).alias(c) for c in X]).first()
-    return sorted(range(len(X)), key=lambda i: -(row[X[i]] or 0.0))[:n]
-
-
 def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
         max_cell: int = MAX_CELL, salts: int = SALTS) -> DataFrame:
     """(id, nn_rank, nn_id, dist): the k nearest other rows of every row (Euclidean over
@@ -55,12 +49,14 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    X = [f"_x{i}" for i in range(len(cols))]
+    d = len(cols)
     notnull = F.lit(True)
     for c in cols:
         notnull = notnull & F.col(f"`{c}`").isNotNull()
+    # coordinates travel as one array column: few attributes keep planning cheap in any d
     pts = df.where(notnull).select(F.col(id_col).alias("_id"),
-                                   *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(cols, X)])
+                                   F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_vec"))
+    X = ["_vec"]
 
     # 1. duplicate groups -> k+1 smallest ids each (salted two-step top-k)
     salted = pts.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)))
@@ -73,12 +69,25 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
     groups = tops.where(F.col("_pos") == 1).select("_gid", *X)
     tops = tops.select("_gid", F.col("_id").alias("_nid"))
 
-    G = _grid_dims(groups, X)
-    gx = [X[i] for i in G]
+    # grid coordinates: the coordinates themselves when d <= GRID_DIMS, else the top
+    # principal axes (an orthonormal projection never exceeds the true distance, so the
+    # block-edge bound stays valid; distances are always computed on the coordinates)
+    if d <= GRID_DIMS:
+        proj = [F.col("_vec")[j].alias(f"_g{j}") for j in range(d)]
+    else:
+        from credora.operators.pca import fit_pca
+        wide = groups.select(*[F.col("_vec")[j].alias(f"c{j}") for j in range(d)])
+        axes = fit_pca(wide, [f"c{j}" for j in range(d)], standardize=False).components[:GRID_DIMS]
+        proj = [sum((F.lit(float(a)) * F.col("_vec")[i] for i, a in enumerate(ax)), F.lit(0.0))
+                .alias(f"_g{j}") for j, ax in enumerate(axes)]
+    groups = groups.select("*", *proj).checkpoint()
+    gx = [f"_g{j}" for j in range(len(proj))]
     box = groups.agg(F.count(F.lit(1)).alias("n"),
                      *[F.min(c).alias(f"lo{i}") for i, c in enumerate(gx)],
                      *[F.max(c).alias(f"hi{i}") for i, c in enumerate(gx)]).first()
     n = box["n"]
+    scale_abs = max([abs(v) for v in [box[f"lo{i}"] for i in range(len(gx))] +
+                     [box[f"hi{i}"] for i in range(len(gx))] if v is not None] + [1.0])
     if n == 0:
         return spark.createDataFrame([], f"{id_col} long, nn_rank int, nn_id long, dist double")
     lo = [box[f"lo{i}"] for i in range(len(gx))]
@@ -90,6 +99,8 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
     w = span / max(1.0, math.ceil((n / (max_cell / 4.0)) ** (1.0 / max(1, len(gx)))))
     for _ in range(60):
         mx = groups.groupBy(*[F.floor(F.col(c) / w) for c in gx]).count().agg(F.max("count")).first()[0]
+        if os.environ.get("CREDORA_DEBUG"):
+            print("knn width", w, "max cell", mx)
         if mx <= max_cell:
             break
         w /= 2.0
@@ -102,15 +113,17 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
     while True:
         wl = w * (2 ** level)
         cell = [F.floor(F.col(c) / wl).cast("long") for c in gx]
-        q = queries.select(F.col("_gid").alias("_q"), *[F.col(x).alias(f"q{x}") for x in X],
+        qcols = X + gx
+        q = queries.select(F.col("_gid").alias("_q"), *[F.col(x).alias(f"q{x}") for x in qcols],
                            *[c.alias(f"_c{i}") for i, c in enumerate(cell)])
         q = q.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])))
         q = q.select("*", *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_k{i}") for i in range(len(gx))])
         data = groups.select(F.col("_gid").alias("_v"), *X,
                              *[c.alias(f"_k{i}") for i, c in enumerate(cell)])
         pairs = q.join(data, [f"_k{i}" for i in range(len(gx))]) \
-            .select("_q", *[f"_c{i}" for i in range(len(gx))], *[f"q{x}" for x in X], "_v",
-                    _sq_dist([F.col(f"q{x}") for x in X], [F.col(x) for x in X]).alias("_d2"))
+            .select("_q", *[f"_c{i}" for i in range(len(gx))], *[f"q{c}" for c in gx], "_v",
+                    _sq_dist([F.col("q_vec")[j] for j in range(d)],
+                             [F.col("_vec")[j] for j in range(d)]).alias("_d2"))
         cand = pairs.join(tops, pairs._v == tops._gid).drop("_gid", "_v")
         wr = Window.partitionBy("_q").orderBy("_d2", "_nid")
         best = cand.withColumn("_rank", F.row_number().over(wr)).where(F.col("_rank") <= k + 1)
@@ -124,12 +137,14 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
             covers = covers & ((ci - 1) * wl <= F.lit(lo[i])) & ((ci + 2) * wl > F.lit(hi[i]))
         stat = best.groupBy("_q").agg(F.count(F.lit(1)).alias("_m"), F.max("_d2").alias("_dk"),
                                       F.first(edge).alias("_edge"), F.first(covers).alias("_cov"))
-        safe = F.col("_edge") - 1e-9 * wl
+        safe = F.col("_edge") - 1e-9 * (wl + F.lit(scale_abs))
         ok = F.col("_cov") | ((F.col("_m") == k + 1) & (safe > 0) & (F.col("_dk") < safe * safe))
         status = stat.select("_q", ok.alias("_ok")).checkpoint()
         certified = best.join(status.where("_ok"), "_q").select("_q", "_rank", "_nid", "_d2").checkpoint()
         done.append(certified)
         open_q = status.where(~F.col("_ok")).select(F.col("_q").alias("_gid"))
+        if os.environ.get("CREDORA_DEBUG"):
+            print("knn level", level, "width", wl, "open", open_q.count())
         if open_q.isEmpty() or level >= MAX_LEVELS:
             break
         queries = groups.join(open_q, "_gid").checkpoint()
