@@ -112,7 +112,7 @@ oracle("preview", "SELECT * FROM loans ORDER BY id LIMIT 5", LOAN_DOUBLES)
 oracle("value_counts", "SELECT loan_intent AS value, count(*) AS count, "
        "count(*) / sum(count(*)) OVER () AS share FROM loans WHERE loan_intent IS NOT NULL "
        "GROUP BY loan_intent", ["share"])
-oracle("class_counts", "SELECT c.class, CAST(coalesce(n, 0) AS BIGINT) AS count FROM "
+oracle("class_counts", "SELECT CAST(c.class AS BIGINT) AS class, CAST(coalesce(n, 0) AS BIGINT) AS count FROM "
        "(VALUES (0), (1)) c(class) LEFT JOIN (SELECT loan_status AS class, count(*) AS n FROM loans "
        "GROUP BY 1) x ON CAST(c.class AS BIGINT) = x.class")
 oracle("imbalance_ratio", "SELECT CAST(sum(CASE WHEN loan_status = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0, "
