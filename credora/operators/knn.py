@@ -97,13 +97,27 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
         span = 1.0
     # 2. level-0 width: start near max_cell / 4 per cell on average, halve until bounded
     w = span / max(1.0, math.ceil((n / (max_cell / 4.0)) ** (1.0 / max(1, len(gx)))))
-    for _ in range(60):
-        mx = groups.groupBy(*[F.floor(F.col(c) / w) for c in gx]).count().agg(F.max("count")).first()[0]
+    # nested grids: the largest cell count can only fall as the width halves, so the
+    # coarsest bounded width is found by galloping + bisection over halvings
+    def max_cell_at(j: int) -> int:
+        wj = w / (2.0 ** j)
+        mx = groups.groupBy(*[F.floor(F.col(c) / wj) for c in gx]).count() \
+            .agg(F.max("count")).first()[0]
         if os.environ.get("CREDORA_DEBUG"):
-            print("knn width", w, "max cell", mx)
-        if mx <= max_cell:
-            break
-        w /= 2.0
+            print("knn width", wj, "max cell", mx)
+        return mx
+
+    if max_cell_at(0) > max_cell:
+        lo_j, hi_j = 0, 1          # galloping: probes 1, 2, 4, ... then bisects
+        while hi_j < 64 and max_cell_at(hi_j) > max_cell:
+            lo_j, hi_j = hi_j, hi_j * 2
+        while lo_j + 1 < hi_j:
+            mid = (lo_j + hi_j) // 2
+            if max_cell_at(mid) <= max_cell:
+                hi_j = mid
+            else:
+                lo_j = mid
+        w = w / (2.0 ** hi_j)
 
     # 3. level search
     offsets = list(itertools.product((-1, 0, 1), repeat=len(gx)))
@@ -135,19 +149,18 @@ def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
             e = F.least(qi - (ci - 1) * wl, (ci + 2) * wl - qi)
             edge = e if edge is None else F.least(edge, e)
             covers = covers & ((ci - 1) * wl <= F.lit(lo[i])) & ((ci + 2) * wl > F.lit(hi[i]))
-        stat = best.groupBy("_q").agg(F.count(F.lit(1)).alias("_m"), F.max("_d2").alias("_dk"),
-                                      F.first(edge).alias("_edge"), F.first(covers).alias("_cov"))
-        safe = F.col("_edge") - 1e-9 * (wl + F.lit(scale_abs))
-        ok = F.col("_cov") | ((F.col("_m") == k + 1) & (safe > 0) & (F.col("_dk") < safe * safe))
-        status = stat.select("_q", ok.alias("_ok")).checkpoint()
-        certified = best.join(status.where("_ok"), "_q").select("_q", "_rank", "_nid", "_d2").checkpoint()
-        done.append(certified)
-        open_q = status.where(~F.col("_ok")).select(F.col("_q").alias("_gid"))
+        per_q = Window.partitionBy("_q")   # same partitioning as the ranking window: no shuffle
+        safe = edge - 1e-9 * (wl + F.lit(scale_abs))
+        ok = covers | ((F.count(F.lit(1)).over(per_q) == k + 1) & (safe > 0)
+                       & (F.max("_d2").over(per_q) < safe * safe))
+        lev = best.select("_q", "_rank", "_nid", "_d2", ok.alias("_ok")).checkpoint()
+        done.append(lev.where("_ok").drop("_ok"))
+        open_q = lev.where(~F.col("_ok")).select(F.col("_q").alias("_gid")).distinct()
         if os.environ.get("CREDORA_DEBUG"):
             print("knn level", level, "width", wl, "open", open_q.count())
         if open_q.isEmpty() or level >= MAX_LEVELS:
             break
-        queries = groups.join(open_q, "_gid").checkpoint()
+        queries = groups.join(open_q, "_gid")
         level += 1
 
     lists = done[0]

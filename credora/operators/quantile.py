@@ -46,6 +46,28 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     key_types = [(k, dict(base.dtypes)[k]) for k in keys]
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect()
 
+    schema = ", ".join([f"`{k}` {t}" for k, t in key_types] + ["p double", "q double"])
+    small = [row for row in counts if row["_n"] <= select_rows]
+    big = [row for row in counts if row["_n"] > select_rows]
+    out = []
+    if small:
+        # a key of at most select_rows values: Spark's exact percentile keeps a value map
+        # bounded by that count, one pass for all such keys
+        part = base
+        if big:
+            sk = spark.createDataFrame([tuple(r[k] for k in keys) for r in small],
+                                       ", ".join(f"`{k}` {t}" for k, t in key_types))
+            part = base.join(F.broadcast(sk), keys)
+        got = part.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+                                      .alias("_q")).collect()
+        for row in got:
+            out += [(*[row[k] for k in keys], float(p), float(q)) for p, q in zip(probs, row["_q"])]
+    if big:
+        out += _select_quantiles(spark, base, keys, key_types, big, probs, select_rows)
+    return spark.createDataFrame(out, schema)
+
+
+def _select_quantiles(spark, base, keys, key_types, counts, probs, select_rows):
     # rank targets: (key tuple, rank) -> needed for (p, lo/hi)
     wanted = {}
     plan = []  # (key, p, r_lo, r_hi, frac)
@@ -149,5 +171,4 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     for key, p, lo, hi, frac in plan:
         a, b = picked[(key, lo)], picked[(key, hi)]
         out.append((*key, float(p), a + (b - a) * frac if frac else a))
-    schema = ", ".join([f"`{k}` {t}" for k, t in key_types] + ["p double", "q double"])
-    return spark.createDataFrame(out, schema)
+    return out

@@ -492,7 +492,9 @@ def _model_frames(spark, sf):
     """(train, valid, feature columns): engineered, encoded, robust-scaled loans."""
     s = CreditSystem()
     prepared = s.prepare(loans(spark, sf), fit=True)
-    split = sample.stratified_split(prepared, LABEL, 0.2, 42)
+    # written once to the shared checkpoint folder: the scaler fit, every model fit and
+    # fold read it instead of re-running the joins and feature projections
+    split = sample.stratified_split(prepared, LABEL, 0.2, 42).checkpoint()
     train = split.where("split = 'train'").drop("split")
     valid = split.where("split = 'test'").drop("split")
     sc = scale.fit_robust(train, s.feature_cols)

@@ -88,7 +88,8 @@ class CreditSystem:
     def train(self, df: DataFrame, cv_folds: int = 0) -> dict:
         """Fit everything on ``df``; returns report tables (validation part)."""
         prepared = self.prepare(df, fit=True)
-        split = sample.stratified_split(prepared, self.label, self.test_frac, self.seed)
+        # one written table feeds the scaler, PCA, resampling and the fit (lineage cut)
+        split = sample.stratified_split(prepared, self.label, self.test_frac, self.seed).checkpoint()
         train = split.where("split = 'train'").drop("split")
         valid = split.where("split = 'test'").drop("split")
         self.scaler = scale.fit_robust(train, self.feature_cols)
