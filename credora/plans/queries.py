@@ -530,6 +530,14 @@ def q_predict_proba(spark, sf):
     return scored.select("id", "score", "prediction")
 
 
+@query("predict_label")
+def q_predict_label(spark, sf):
+    tr, va, cols = _model_frames(spark, sf)
+    m = boosted.gbt_classifier(tr, cols, LABEL, "a", maxIter=CHECK_ITERS)
+    return boosted.predict(m, va, keep=["id"]).select(
+        "id", F.col("prediction").cast("bigint").alias("prediction"))
+
+
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     tr, _, cols = _model_frames(spark, sf)
@@ -558,6 +566,16 @@ def q_stack_predict(spark, sf):
     return m.predict(va, keep=[LABEL])
 
 
+@query("stack_fit")
+def q_stack_fit(spark, sf):
+    """Fitted stack summary: validation AUC of the meta model and its F1-best threshold."""
+    tr, va, cols = _model_frames(spark, sf)
+    m = stack_plan.stack_fit(tr, cols, LABEL, stack_plan.default_learners(LABEL, 42, 3),
+                             lambda: boosted.gbt_estimator(LABEL, "meta", maxIter=3), k=5, valid=va)
+    return spark.createDataFrame([(",".join(m.names), m.meta_auc, m.threshold)],
+                                 "base_models string, meta_auc double, threshold double")
+
+
 @query("stack_cv")
 def q_stack_cv(spark, sf):
     tr, _, cols = _model_frames(spark, sf)
@@ -598,11 +616,39 @@ def q_system_predict(spark, sf):
     return s.predict(df.drop(LABEL))
 
 
-@query("save_load_system")
-def q_save_load(spark, sf):
+def _saved_system(spark, sf):
     df = loans(spark, sf)
     s = CreditSystem(model_params={"maxIter": CHECK_ITERS}, use_smote=False)
     s.train(df)
     path = scratch_path(spark, "system")
     s.save(path)
+    return s, path, df
+
+
+@query("save_system")
+def q_save_system(spark, sf):
+    """The saved parameter table, one (key, value) row per fitted item."""
+    import json
+
+    from credora.sources.persist import read_params
+    _, path, _ = _saved_system(spark, sf)
+    params = read_params(spark, f"{path}/params")
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in sorted(params.items())],
+                                 "key string, value string")
+
+
+@query("load_system")
+def q_load_system(spark, sf):
+    _, path, df = _saved_system(spark, sf)
     return CreditSystem.load(path).predict(df.drop(LABEL))
+
+
+@query("save_load_system")
+def q_save_load(spark, sf):
+    """Predictions of the trained and of the reloaded system side by side."""
+    s, path, df = _saved_system(spark, sf)
+    a = s.predict(df.drop(LABEL))
+    b = CreditSystem.load(path).predict(df.drop(LABEL)) \
+        .select("id", F.col("prediction").alias("loaded_prediction"), F.col("score").alias("loaded_score"))
+    return a.join(b, "id").withColumn("equal", (F.col("prediction") == F.col("loaded_prediction"))
+                                      & (F.col("score") == F.col("loaded_score")))
