@@ -29,22 +29,26 @@ def _targets_df(spark, rows, key_cols):
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     key_cols: list[str] | None = None,
-                    select_rows: int = SELECT_ROWS) -> DataFrame:
+                    select_rows: int = SELECT_ROWS, counts: dict | None = None) -> DataFrame:
     """One row per (key..., p): ``q`` = linear-interpolated quantile of non-null values.
 
     Keys must be low-cardinality (column names, classes): the per-key target table
-    is collected to the driver while narrowing.
+    is collected to the driver while narrowing. ``counts`` ({key tuple: non-null count})
+    skips the counting pass when the caller already has them.
     """
     keys = list(key_cols or [])
     if not keys:  # a constant key keeps every join an equi-join
         out = exact_quantiles(df.withColumn("_key", F.lit(0)), value_col, probs, ["_key"],
-                              select_rows)
+                              select_rows, {(0,): n for n in (counts or {}).values()} or None)
         return out.drop("_key")
     spark = df.sparkSession
     base = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))) \
         .select(*keys, F.col(value_col).cast("double").alias("_v"))
     key_types = [(k, dict(base.dtypes)[k]) for k in keys]
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect()
+    if counts is None:
+        counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect()
+    else:
+        counts = [dict(zip(keys, k), _n=n) for k, n in counts.items() if n]
 
     schema = ", ".join([f"`{k}` {t}" for k, t in key_types] + ["p double", "q double"])
     small = [row for row in counts if row["_n"] <= select_rows]

@@ -193,18 +193,16 @@ def boxplot_by_class(df: DataFrame, cols: list[str], label: str = "loan_status")
     v = F.col("value")
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    # the lower whisker is the smallest value at or above the lower fence, so "below the
+    # whisker" is "below the fence": outliers are counted in the same pass
     agg = long.join(F.broadcast(qw), ["feature", "class"]).groupBy("feature", "class").agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.min(F.when(v >= lo_f, v)).alias("whisker_lo"),
         F.max(F.when(v <= hi_f, v)).alias("whisker_hi"),
+        F.sum(F.when((v < lo_f) | (v > hi_f), 1).otherwise(0)).cast("bigint").alias("n_outliers"),
         F.count(F.lit(1)).alias("n"))
-    out = long.join(F.broadcast(agg.select("feature", "class", "whisker_lo", "whisker_hi")),
-                    ["feature", "class"]).groupBy("feature", "class").agg(
-        F.sum(F.when((v < F.col("whisker_lo")) | (v > F.col("whisker_hi")), 1).otherwise(0))
-        .cast("bigint").alias("n_outliers"))
-    return agg.join(out, ["feature", "class"]).select(
-        "feature", F.col("class").cast("bigint").alias("class"), "q1", "median", "q3",
-        "whisker_lo", "whisker_hi", "n_outliers", "n")
+    return agg.select("feature", F.col("class").cast("bigint").alias("class"), "q1", "median", "q3",
+                      "whisker_lo", "whisker_hi", "n_outliers", "n")
 
 
 # ---------------------------------------------------------------- categorical vs label
