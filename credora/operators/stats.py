@@ -128,22 +128,27 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 50) -> DataFrame:
 
 def auto_bins(df: DataFrame, cols: list[str]) -> DataFrame:
     """Bin count per column by the 'auto' rule: the narrower of the Sturges and
-    Freedman-Diaconis widths (Sturges alone when the IQR is 0)."""
+    Freedman-Diaconis widths (Sturges alone when the IQR is 0). Two passes: range and
+    count, then the quartiles sized by those counts."""
     long = _long(df, cols)
     mm = long.groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"),
-                                    F.count("value").cast("double").alias("n"))
-    q = exact_quantiles(long, "value", [0.25, 0.75], ["feature"])
-    iqr = q.groupBy("feature").agg((F.max(F.when(F.col("p") == 0.75, F.col("q")))
-                                   - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("iqr"))
-    rng = F.col("mx") - F.col("mn")
-    sturges = rng / (F.log2("n") + 1)
-    fd = 2 * F.col("iqr") * F.pow(F.col("n"), F.lit(-1.0 / 3.0))
-    width = F.when(F.col("iqr") > 0, F.least(fd, sturges)).otherwise(sturges)
-    bins = F.when(rng > 0, F.ceil(rng / width)).otherwise(F.lit(1)).cast("int")
-    same = F.col("mn") == F.col("mx")
-    return mm.join(iqr, "feature").select(
-        "feature", F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-        F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"), bins.alias("bins"))
+                                    F.count("value").alias("n")).collect()
+    q = {(r["feature"], r["p"]): r["q"] for r in exact_quantiles(
+        long, "value", [0.25, 0.75], ["feature"], counts={(r["feature"],): r["n"] for r in mm}).collect()}
+    rows = []
+    for r in mm:
+        n, mn, mx = r["n"], r["mn"], r["mx"]
+        if not n:
+            continue
+        iqr = q[(r["feature"], 0.75)] - q[(r["feature"], 0.25)]
+        rng = mx - mn
+        sturges = rng / (math.log2(n) + 1)
+        fd = 2 * iqr * n ** (-1.0 / 3.0)
+        width = min(fd, sturges) if iqr > 0 else sturges
+        bins = int(math.ceil(rng / width)) if rng > 0 else 1
+        lo, hi = (mn - 0.5, mx + 0.5) if rng == 0 else (mn, mx)
+        rows.append((r["feature"], float(lo), float(hi), bins))
+    return df.sparkSession.createDataFrame(rows, "feature string, lo double, hi double, bins int")
 
 
 def auto_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
