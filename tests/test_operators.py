@@ -165,3 +165,24 @@ def test_vif_and_pca_match_numpy(spark, loans_small):
     ev = np.sort(np.linalg.eigvalsh(R))[::-1]
     assert m.explained_variance_ratio == pytest.approx((ev / ev.sum()).tolist(), rel=1e-8)
     assert m.n_for_variance(0.95) >= 1
+
+
+def test_invariants_partitioning_and_scaling(spark, loans_small):
+    """AUC and quantiles do not depend on partitioning; robust scaling centres the median."""
+    from credora.sources.loans import scored_loans
+    from .conftest import SF001
+
+    s = scored_loans(spark, SF001)
+    a1 = metrics.roc_auc(s.repartition(1), "loan_status", "score_a").first()["auc"]
+    a17 = metrics.roc_auc(s.repartition(17), "loan_status", "score_a").first()["auc"]
+    assert a1 == pytest.approx(a17, abs=1e-15)
+    cols = ["loan_int_rate", "loan_amnt"]
+    sc = scale.fit_robust(loans_small, cols)
+    out = sc.transform(loans_small).toPandas()
+    for c in cols:
+        assert float(np.median(out[c])) == pytest.approx(0.0, abs=1e-12)
+    d1 = profile.describe(loans_small.repartition(1), cols).collect()
+    d9 = profile.describe(loans_small.repartition(9), cols).collect()
+    key = lambda r: r["feature"]
+    for x, y in zip(sorted(d1, key=key), sorted(d9, key=key)):
+        assert x["q50"] == y["q50"] and x["count"] == y["count"]
