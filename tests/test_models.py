@@ -50,3 +50,15 @@ def test_system_round_trip(spark, loans_small):
     a = s.predict(loans_small.drop("loan_status"))
     b = t.predict(loans_small.drop("loan_status"))
     assert a.count() == loans_small.count() and a.exceptAll(b).count() == 0
+
+
+def test_parallel_folds_equal_sequential(spark, loans_small):
+    from credora.plans import boosted
+    from credora.plans.system import CreditSystem
+
+    s = CreditSystem()
+    prep = s.prepare(loans_small, fit=True).checkpoint()
+    make = lambda: boosted.gbt_estimator("loan_status", "a", maxIter=2)
+    seq = boosted.cross_val_auc(prep, s.feature_cols, make, k=3, max_parallel=1).collect()
+    par = boosted.cross_val_auc(prep, s.feature_cols, make, k=3).collect()
+    assert [tuple(r) for r in seq] == [tuple(r) for r in par]
