@@ -4,6 +4,26 @@ from __future__ import annotations
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP2 = rf"""
+WITH docs AS (SELECT doc_id, {WORDS} AS words FROM documents),
+win AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM docs)),
+bad AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY w) AS low FROM win)
+  WHERE low < doc_id),
+one AS (
+  SELECT doc_id, words[pos] AS word, pos,
+         max(b) OVER (PARTITION BY doc_id ORDER BY pos) AS last_bad
+  FROM (SELECT d.doc_id, d.words, d.pos, b.pos AS b
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM docs) d
+        LEFT JOIN bad b ON b.doc_id = d.doc_id AND b.pos = d.pos)),
+marked AS (SELECT *, coalesce(pos - last_bad < 13, false) AS gone FROM one)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, count(m.pos) FILTER (WHERE m.gone) AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.pos) FILTER (WHERE NOT m.gone), '')) AS kept_sha256
+FROM docs d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, len(d.words)
+"""
+
 OP9 = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -53,4 +73,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM placed
 """
 
-SQL = {"op9_line_dedup": OP9, "op10_source_mix": OP10}
+SQL = {"op2_substring_dedup": OP2, "op9_line_dedup": OP9, "op10_source_mix": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, sharding
+from . import lines, mixing, sharding, substrings
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents"), n=13)
+    return out.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS,
                                  [1.0] * (N_SHARDS + 1))
@@ -34,6 +40,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
