@@ -24,6 +24,30 @@ SELECT d.doc_id, len(d.words)::BIGINT AS n_words, count(m.pos) FILTER (WHERE m.g
 FROM docs d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id, len(d.words)
 """
 
+OP3 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, length(text) + len(regexp_extract_all(text,
+           '\\|<</SYS>>|</TURN>|<<SYS>>|\[/INST\]|\[INST\]|<TURN|<ANS>|</s>|<s>')) AS chars,
+         CASE role WHEN 'system' THEN 8 + 9 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 6 + 5 END AS marks,
+         lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars + marks))::BIGINT AS formatted_chars,
+       bool_and(CASE role WHEN 'system' THEN before IS NULL
+                          WHEN 'user' THEN coalesce(before, 'system') IN ('system', 'assistant')
+                          WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END
+                AND (after IS NOT NULL OR role = 'assistant')) AS valid
+FROM escaped GROUP BY conv_id
+"""
+
 OP9 = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -73,4 +97,5 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM placed
 """
 
-SQL = {"op2_substring_dedup": OP2, "op9_line_dedup": OP9, "op10_source_mix": OP10}
+SQL = {"op2_substring_dedup": OP2, "op3_chat_format": OP3,
+       "op9_line_dedup": OP9, "op10_source_mix": OP10}

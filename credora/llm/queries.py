@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, sharding, substrings
+from . import chat, lines, mixing, sharding, substrings
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -21,6 +21,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)],
+                                  "conv_id long, turn long, role string, text string")
+    out = chat.read_chats(chat.format_chats(turns.unionByName(probe)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(
+        F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS,
                                  [1.0] * (N_SHARDS + 1))
@@ -41,6 +57,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_format": op3_chat_format,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
