@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, sharding, substrings
+from . import chat, lines, mixing, quality, sharding, substrings
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -37,6 +37,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                      "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS,
                                  [1.0] * (N_SHARDS + 1))
@@ -58,6 +64,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
+    "op6_quality_rules": op6_quality_rules,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
