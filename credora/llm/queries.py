@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality, sharding, substrings
+from . import chat, lines, mixing, packing, quality, sharding, substrings
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup_substrings(table(spark, sf_dir, "documents"), n=13)
     return out.select("doc_id", "n_words", "n_removed",
@@ -43,6 +49,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(),
+                                  capacity=1024)
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(table(spark, sf_dir, "documents"), [1.0] * N_SHARDS,
                                  [1.0] * (N_SHARDS + 1))
@@ -65,6 +76,7 @@ REGISTRY = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_packing": op7_packing,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
