@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, quality, sharding, substrings
+from . import chat, jaccard, lines, mixing, packing, quality, sharding, substrings
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold="0.8", n=5)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup_substrings(table(spark, sf_dir, "documents"), n=13)
     return out.select("doc_id", "n_words", "n_removed",
@@ -73,6 +77,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
     "op6_quality_rules": op6_quality_rules,
