@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, packing, quality, sharding, substrings
+from . import chat, jaccard, lines, mixing, packing, quality, sharding, spotsigs, substrings
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -47,6 +47,15 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.digest(F.col("signatures")).alias("fingerprint"),
+        spotsigs.digest(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited", "near_next", F.size("signatures").cast("long").alias("n_signatures"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -80,6 +89,7 @@ REGISTRY = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
+    "op5_spot_signatures": op5_spot_signatures,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_rendezvous_shards": op8_rendezvous_shards,
