@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, packing, quality, sharding, spotsigs, substrings
+from . import chat, jaccard, lines, mixing, packing, quality, sharding, spotsigs, substrings, toxicity
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -47,6 +47,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_documents(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
     return out.select(
@@ -89,6 +95,7 @@ REGISTRY = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op5_spot_signatures": op5_spot_signatures,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
