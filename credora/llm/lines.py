@@ -20,28 +20,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import narrow
+from .frames import materialise, narrow
 
-SPACES = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SPACES = b" \t\n\x0b\x0c\r"
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def line_key(line: str) -> str:
-    """White space stripped at both ends, A-Z lower-cased."""
+def line_key(line: bytes) -> bytes:
+    """A UTF-8 line with white space stripped at both ends and A-Z lower-cased."""
     return line.strip(SPACES).translate(LOWER)
 
 
-def key_digest(key: str) -> bytes:
-    return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+def counts(key: bytes, min_chars: int) -> bool:
+    """Whether a key has at least ``min_chars`` code points."""
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     """One (id, hash) row for each distinct key of a document."""
     for batch in batches:
         ids, hashes = [], []
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            keys = {line_key(x) for x in (text or "").split("\n")}
-            found = [key_digest(k) for k in keys if len(k) >= min_chars]
+        for row, text in enumerate(texts_of(batch)):
+            keys = {line_key(x) for x in text.split(b"\n")}
+            found = [xxhash.xxh3_128_digest(k) for k in keys if counts(k, min_chars)]
             hashes += found
             ids += [row] * len(found)
         yield pa.RecordBatch.from_arrays(
@@ -52,18 +57,19 @@ def _line_hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[
 def _drop_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, lines, dropped = [], [], []
-        for text, bad in zip(batch.column("text").to_pylist(), batch.column("bad").to_pylist()):
-            parts = (text or "").split("\n")
+        for text, bad in zip(texts_of(batch), batch.column("bad").to_pylist()):
+            parts = text.split(b"\n")
             kept = parts
             if bad:
                 bad = set(bad)
                 kept = [x for x in parts
-                        if len(k := line_key(x)) < min_chars or key_digest(k) not in bad]
-            texts.append("\n".join(kept))
+                        if not counts(k := line_key(x), min_chars)
+                        or xxhash.xxh3_128_digest(k) not in bad]
+            texts.append(b"\n".join(kept))
             lines.append(len(parts))
             dropped.append(len(parts) - len(kept))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()),
+            [batch.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()),
              pa.array(dropped, pa.int64())], names=["doc_id", "kept_text", "n_lines", "n_dropped"])
 
 
@@ -76,9 +82,10 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     rows = docs.mapInArrow(lambda it: _line_hashes(it, min_chars), f"id {kind}, h binary")
     # distinct (hash, document) first: its key is spread over all tasks however hot a line is, and
     # the count per hash is then combined before its shuffle
-    counts = (rows.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= min_docs).select("h"))
-    return rows, counts
+    frequent = (rows.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") >= min_docs).select("h"))
+    # written: its size is then known to the join, which splits a hot line's rows or broadcasts
+    return rows, materialise(frequent, "lines")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
