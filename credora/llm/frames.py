@@ -12,11 +12,12 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: cuts the lineage, computes the
-    rows once, and survives lost executors."""
+    rows once, and survives lost executors. ``files``: the most part files, for tables of one row a
+    group, so that their size on disk shows how small they are to the joins that read them."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,3 +45,11 @@ def digits_for(rows: int, rows_per_bucket: int) -> int:
     while rows > rows_per_bucket * 16 ** d and d < 7:
         d += 1
     return d
+
+
+def row_key(df: DataFrame, text_col: str = "text") -> Column:
+    """128 bits that name a row by all its columns: rows with one key are equal rows."""
+    others = [F.col(f"`{c}`") for c in sorted(df.columns) if c != text_col]
+    rest = F.to_json(F.struct(*others)) if others else F.lit("")
+    return F.md5(F.concat_ws("|", F.coalesce(F.md5(F.col(f"`{text_col}`").cast("binary")),
+                                             F.lit("null")), rest))

@@ -24,9 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import WORD, materialise, narrow
+from .frames import WORD, materialise, row_key
 
 DIMS = 4
+GROUP_FILES = 8
 SCALE = 4096  # vectors are stored as integers of 1 / SCALE
 # Smallest standard deviations: log word length, symbols a word, repeated lines and repeated words.
 FLOORS = [0.06, 0.04, 0.15, 0.15]
@@ -180,13 +181,14 @@ def consistency(core: float) -> float:
 
 def fit_scatter(vectors: DataFrame, core: float = 0.75, steps: int = 5) -> DataFrame:
     """key, size, m_i, c_ij of every group of (key, x0..x3)."""
-    fit = materialise(_start(vectors), "mcd")
+    fit = materialise(_start(vectors), "mcd", GROUP_FILES)
     for step in range(steps):
         found = _concentrate(vectors, fit, core)
         if step == steps - 1:
-            return materialise(found, "mcd")
+            return materialise(found, "mcd", GROUP_FILES)
         fit = materialise(_with_inverse_root(found).select(
-            "key", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _pairs()]), "mcd")
+            "key", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _pairs()]), "mcd",
+                          GROUP_FILES)
     raise ValueError("steps must be positive")
 
 
@@ -203,10 +205,12 @@ def judge(docs: DataFrame, core: float = 0.75, steps: int = 5, prior: float = 50
           alpha: float = 1e-6, min_words: int = 10, repeat_percent: int = 20,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source") -> DataFrame:
-    """doc_id, text_key (md5 of the text), the base statistics, base_failed, distance (null if
+    """doc_id, row_key (see ``row_key``), the base statistics, base_failed, distance (null if
     base_failed) and kept, for every input row."""
-    rows = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col)
-    rows = rows.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = row_key(docs, text_col)
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in (
+        ("doc_id", id_col), ("text", text_col), ("lang", lang_col), ("source", source_col))],
+        key.alias("row_key"))
     stats = base_statistics(rows)
     failed = (F.col("n_words") < min_words) | \
         (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
@@ -225,13 +229,23 @@ def judge(docs: DataFrame, core: float = 0.75, steps: int = 5, prior: float = 50
     groups = _lean(fit.join(keys, "key").withColumnRenamed("lang_key", "up"), langs, prior)
     final = materialise(_with_inverse_root(groups).select(
         F.col("key").alias("fit_key"), *[f"m{i}" for i in range(DIMS)],
-        *[f"l{i}{j}" for i, j in _pairs()]), "mcd")
+        *[f"l{i}{j}" for i, j in _pairs()]), "mcd", GROUP_FILES)
     distance = F.when(~F.col("base_failed"), _distance())
     judged = (stats.withColumn("key", F.get("keys", F.lit(2)))
               .join(final, F.col("key") == F.col("fit_key"), "left")
               .withColumn("distance", distance))
     return judged.select(
-        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(1 - alpha)))
         .alias("kept"))
+
+
+def keep_documents(docs: DataFrame, **rules) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    text_col = rules.get("text_col", "text")
+    gone = materialise(judge(docs, **rules).filter(~F.col("kept")).select("row_key").distinct(),
+                       "rejected")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                        row_key(docs, text_col).alias("row_key"))
+    return keyed.join(gone, "row_key", "left_anti").select("doc.*")
