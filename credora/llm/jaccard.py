@@ -101,8 +101,9 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, max_depth: int,
                 pa.array(np.arange(part.num_rows + 1) * trees, pa.int32()),
                 pa.array(np.ascontiguousarray(keys).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(c1), pa.array(c2), pa.array(sizes, pa.int64()), lists],
-                names=["id", "c1", "c2", "size", "keys"])
+                [part.column("id"), part.column("text_key"), pa.array(c1), pa.array(c2),
+                 pa.array(sizes, pa.int64()), lists],
+                names=["id", "text_key", "c1", "c2", "size", "keys"])
 
 
 SETS = "comp long, i int, j int, rep long, block int, copies long, grams binary"
@@ -218,15 +219,15 @@ def _verify(unit: pa.Table, threshold: str) -> pa.Table:
 def near_duplicates(docs: DataFrame, threshold: str = "0.8", n: int = 5, trees: int = 32,
                     max_depth: int = 8, target_recall: float = 0.9999,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_id (smallest id with the same words), class_id (smallest id among all documents
+    """doc_id, text_key (xxhash64 of the text), copy_id (smallest id with the same words), class_id (smallest id among all documents
     connected by links) and n_links (other documents at the threshold, copies included) for every
     input row."""
     depth = forest_depth(float(Fraction(threshold)), trees, max_depth, target_recall)
     docs = narrow(docs, doc_id=id_col, text=text_col)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    signed = materialise(keyed.mapInArrow(
+    signed = materialise(keyed.select("id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
         lambda it: _sign(it, n, trees, max_depth, depth),
-        "id long, c1 long, c2 long, size long, keys array<long>"), "signed")
+        "id long, text_key long, c1 long, c2 long, size long, keys array<long>"), "signed")
     classes = materialise(
         signed.filter("size > 0").groupBy("c1", "c2").agg(
             F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
@@ -248,12 +249,26 @@ def near_duplicates(docs: DataFrame, threshold: str = "0.8", n: int = 5, trees:
                .select("c1", "c2", F.col("rep").alias("copy_id"),
                        F.coalesce("root", "rep").alias("class_id"),
                        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    own = signed.select("id", F.when(F.col("size") > 0, F.col("c1")).alias("c1"), "c2")
+    own = signed.select("id", "text_key", F.when(F.col("size") > 0, F.col("c1")).alias("c1"), "c2")
     return (own.join(classed, ["c1", "c2"], "left")
             .select(*[F.nullif(F.coalesce(x, "id"), F.lit(NO_ID)).alias(name) for x, name in
                       ((F.col("id"), "doc_id"), (F.col("copy_id"), "copy_id"),
                        (F.col("class_id"), "class_id"))],
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose document has the smallest id of its
+    class."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **join)
+    gone = materialise(found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+                       .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id"),
+                               F.col("text_key").alias("gone_key")).distinct(), "copies")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
+                        F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"))
+    return keyed.join(gone, (F.col("id") == F.col("gone_id"))
+                      & (F.col("text_key") == F.col("gone_key")), "left_anti").select("doc.*")
 
 
 def _units(classes: DataFrame) -> DataFrame:

@@ -68,9 +68,12 @@ def _drop_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[p
             texts.append(b"\n".join(kept))
             lines.append(len(parts))
             dropped.append(len(parts) - len(kept))
+        kept_columns = batch.schema.names[:-2]  # all but text and bad
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()),
-             pa.array(dropped, pa.int64())], names=["doc_id", "kept_text", "n_lines", "n_dropped"])
+            [*[batch.column(c) for c in kept_columns],
+             pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()),
+             pa.array(dropped, pa.int64())],
+            names=[*kept_columns, "kept_text", "n_lines", "n_dropped"])
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
@@ -89,14 +92,29 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept_text, n_lines, n_dropped for every input row."""
-    rows, frequent = frequent_lines(docs, min_docs, min_chars, id_col, text_col)
-    bad = (rows.join(frequent, "h", "left_semi")
+                id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+                ) -> DataFrame:
+    """doc_id, kept_text, n_lines, n_dropped for every input row, and the columns of ``carry`` as a
+    struct ``carried``."""
+    rows, bad = frequent_lines(docs, min_docs, min_chars, id_col, text_col)
+    bad = (rows.join(bad, "h", "left_semi")
            .groupBy(F.col("id").alias("bad_id")).agg(F.collect_set("h").alias("bad")))
-    texts = narrow(docs, id=id_col, text=text_col)
-    kind = texts.schema["id"].dataType.simpleString()
+    columns = {"id": F.col(f"`{id_col}`")}
+    if carry:
+        columns["carried"] = F.struct(*[F.col(f"`{c}`") for c in carry])
+    texts = docs.select(*[c.alias(k) for k, c in columns.items()],
+                        F.col(f"`{text_col}`").alias("text"))
     joined = (texts.join(bad, F.col("id").eqNullSafe(F.col("bad_id")), "left")
-              .select("id", "text", "bad"))
+              .select(*columns, "text", "bad"))
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
     return joined.mapInArrow(lambda it: _drop_lines(it, min_chars),
-                             f"doc_id {kind}, kept_text string, n_lines long, n_dropped long")
+                             f"{kinds}, kept_text string, n_lines long, n_dropped long") \
+        .withColumnRenamed("id", "doc_id")
+
+
+def drop_frequent_lines(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
+    """All rows and columns of ``docs``, its texts without the frequent lines."""
+    others = [c for c in docs.columns if c != text_col]
+    out = dedup_lines(docs, text_col=text_col, carry=others, **rules)
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col
+                        else F.col(f"carried.`{c}`").alias(c) for c in docs.columns])

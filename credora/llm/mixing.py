@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import digits_for, materialise, md5_bucket, narrow, word_count
+from .frames import WORD, digits_for, materialise, md5_bucket, row_key, word_count
 
 ROWS_PER_BUCKET = 4000
 
@@ -67,12 +67,12 @@ def mix_sources(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3
                 max_epochs: int = 2, seed: str = "mix", id_col: str = "doc_id",
                 text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, whole (full repetitions), extra (words of one more,
-    partial or full, repetition), taken, text_key for every input row. ``text_key`` is the md5 of the
-    text: with doc_id and source it names the row."""
-    docs = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
-    text_key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    partial or full, repetition), taken, row_key (see ``row_key``) for every input row."""
+    key = row_key(docs, text_col)
+    docs = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in (
+        ("doc_id", id_col), ("text", text_col), ("source", source_col))], key.alias("row_key"))
     rows = materialise(docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), text_key.alias("text_key"),
+        "doc_id", "source", word_count(F.col("text")).alias("size"), "row_key",
         F.md5(F.concat_ws("-", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"),
                                                         F.lit("null")))).alias("order_key")), "mix")
     # one read: rows and words of each source and hash prefix, at most sources x prefixes rows
@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3
                        & (F.col("bucket") == F.col("o_bucket")))
     ends_here = (F.col("room") > 0) & (F.col("room") < F.col("words"))
     inside = (Window.partitionBy("source", "bucket")
-              .orderBy("order_key", F.col("doc_id").asc_nulls_first(), "text_key")
+              .orderBy("order_key", F.col("doc_id").asc_nulls_first(), "row_key")
               .rowsBetween(Window.unboundedPreceding, -1))
     cut = placed.filter(ends_here).withColumn(
         "room", F.col("room") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -108,8 +108,31 @@ def mix_sources(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3
         "doc_id", "source", "size", "source_size", "target", "whole",
         _between(F.col("room"), F.col("size")).alias("extra"),
         (F.col("whole") * F.col("size") + _between(F.col("room"), F.col("size"))).alias("taken"),
-        "text_key")
+        "row_key")
 
 
 def _between(room: Column, size: Column) -> Column:
     return F.greatest(F.lit(0), F.least(room, size)).cast("long")
+
+
+def mix_documents(docs: DataFrame, weights: list[int], text_col: str = "text", **mix) -> DataFrame:
+    """The mixed rows themselves, with the columns of ``docs``: every document ``whole`` times, and
+    once more up to its first ``extra`` words."""
+    taken = mix_sources(docs, weights, text_col=text_col, **mix).filter("taken > 0")
+    # equal rows meet under one key; their repetitions are gathered there
+    taken = taken.groupBy("row_key").agg(F.collect_list(F.struct("whole", "extra", "size"))
+                                         .alias("parts"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+                        row_key(docs, text_col).alias("row_key")).dropDuplicates(["row_key"])
+    words = F.flatten(F.transform("parts", lambda p: F.concat(
+        F.array_repeat(p["size"], p["whole"].cast("int")),
+        F.when(p["extra"] > 0, F.array(p["extra"])).otherwise(F.array().cast("array<long>")))))
+    size = F.get("parts", F.lit(0))["size"]
+    rows = (keyed.join(taken, "row_key")
+            .select("doc", size.alias("size"), F.explode(words).alias("words")))
+    text = F.col(f"doc.`{text_col}`")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), 0),
+                                 1, F.col("words").cast("int")), "")
+    cut = F.when(F.col("words") < F.col("size"), first).otherwise(text)
+    return rows.select(*[cut.alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c)
+                         for c in docs.columns])

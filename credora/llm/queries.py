@@ -22,7 +22,8 @@ def tokenizer_path() -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold="0.8", n=5)
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents"), threshold="0.8", n=5)
+    return out.select("doc_id", "copy_id", "class_id", "n_links")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
