@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import narrow
@@ -33,9 +33,9 @@ from .words import Words, mix, slices, words_of
 NO_ID = 2 ** 63 - 1
 MAX_RUN = 5
 WORD_SEED, WINDOW_SEED, RUN_SEED, WORD_SEED2, WINDOW_SEED2 = 1, 2, 3, 4, 5
-LOW16, LOW32 = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
+LOW16, SETTLED = np.uint64(0xFFFF), -2 ** 63
 
-REMOVED = ("doc_id {kind}, n_words long, n_removed long, kept_text string, "
+REMOVED = ("id long, n_words long, n_removed long, kept_text string, "
            "intervals array<struct<begin:int,end:int>>")
 
 
@@ -63,26 +63,16 @@ def _anchors_of(words: Words, n: int, hashes: np.ndarray) -> np.ndarray:
     return best
 
 
-def _tags(words: Words, hashes: np.ndarray) -> np.ndarray:
-    """16 bits of each document's words, to tell apart rows that share an id."""
-    first = words.first
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    # positions count from the document's own start
-    own = np.arange(len(hashes)) - np.repeat(first[:-1], words.counts)
-    np.cumsum(mix(hashes + own.astype(np.uint64)), out=total[1:])
-    return mix(total[first[1:]] - total[first[:-1]]) & LOW16
-
-
 def _spread(key: np.ndarray, settled: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The shuffle key: the hash itself, or for settled rows something that spreads them."""
     return np.where(settled, mix(ids.astype(np.uint64) ^ key), key).view(np.int64)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(key, anchor, id, settled): a document's distinct anchors; settled if two documents of the
-    slice have it."""
+    """(key, id, anchor): a document's distinct anchors. An anchor that two documents of the slice
+    have is known to be shared and stands in the third column, else that is null."""
     for batch in batches:
-        for part in slices(batch, "text", 8_000_000):
+        for part in slices(batch, "text"):
             ids = part.column("id").to_numpy()
             words = words_of(part, "text")
             at = words.valid(n)
@@ -98,26 +88,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             # the first holder stands for the slice, the others are known to share the anchor
             settled = several & ~changed
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_spread(anchor, settled, owner)), pa.array(anchor.view(np.int64)),
-                 pa.array(owner), pa.array(several)], names=["key", "anchor", "id", "settled"])
+                [pa.array(_spread(anchor, settled, owner)), pa.array(owner),
+                 pa.array(anchor.view(np.int64), mask=~several)], names=["key", "id", "anchor"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, place, settled): a document's distinct windows with a shared anchor. place: first
-    word 32 bits, second hash 16 bits, tag 16 bits; settled: an earlier holder is in the slice."""
+    """(key, id, place): a document's distinct windows with a shared anchor. place: first word and
+    16 bits of the second hash; negative if an earlier holder is in the slice."""
     for batch in batches:
-        for part in slices(batch, "text", 8_000_000):
+        for part in slices(batch, "text"):
             ids = part.column("id").to_numpy()
             words = words_of(part, "text")
-            shared = np.unique(part.column("anchors").flatten().to_numpy()).view(np.uint64)
+            shared = np.unique(part.column("anchors").flatten().to_numpy())
             hashes = words.hashes(WORD_SEED)
             at = words.valid(n)
-            at = at[np.isin(_anchors_of(words, n, hashes)[at], shared)]
+            at = at[np.isin(_anchors_of(words, n, hashes)[at].astype(np.uint32).view(np.int32),
+                            shared)]
             first, second = _window_keys(words, hashes, n)
             first, second, doc = first[at], second[at], words.doc_of(at)
-            pos = (at - words.first[doc]).astype(np.uint64)
-            place = (pos << np.uint64(32)) | (second << np.uint64(16)) | _tags(words, hashes)[doc]
-            order = np.lexsort((pos, doc, second, first))
+            place = ((at - words.first[doc]) << 16) | second.astype(np.int64)
+            order = np.lexsort((at, doc, second, first))
             first, second, doc, place = first[order], second[order], doc[order], place[order]
             keep = _changes(first, second, doc)
             first, second, doc, place = first[keep], second[keep], doc[keep], place[keep]
@@ -127,8 +117,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             settled = owner > least[run] if len(run) else np.empty(0, dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_spread(first, settled, owner)), pa.array(owner),
-                 pa.array(place.view(np.int64)), pa.array(settled)],
-                names=["key", "id", "place", "settled"])
+                 pa.array(np.where(settled, place | SETTLED, place))], names=["key", "id", "place"])
 
 
 def _window_keys(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +127,10 @@ def _window_keys(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 
 def _remove(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 8_000_000):
+        for part in slices(batch, "text"):
             words = words_of(part, "text")
             gone = _covered(words, part.column("places"), n)
-            yield _kept(part.column("doc_id"), words, gone)
+            yield _kept(part.column("id"), words, gone)
 
 
 def _covered(words: Words, places: pa.Array, n: int) -> np.ndarray:
@@ -154,13 +143,14 @@ def _covered(words: Words, places: pa.Array, n: int) -> np.ndarray:
     hashes = words.hashes(WORD_SEED)
     first, second = _window_keys(words, hashes, n)
     doc = np.repeat(np.arange(len(listed)), listed)
-    place = places.flatten().to_numpy().view(np.uint64)
-    own = (place & LOW16) == _tags(words, hashes)[doc]
-    doc, place = doc[own], place[own]
-    at = words.first[doc] + (place >> np.uint64(32)).astype(np.int64)
+    place = places.flatten().to_numpy() & ~SETTLED
+    at = words.first[doc] + (place >> 16)
+    # a place of another row with the same id and another text does not hold these words
+    inside = at + n <= words.first[doc + 1]
+    doc, place, at = doc[inside], place[inside], at[inside]
+    at = at[second[at] == (place & 0xFFFF).astype(np.uint64)]
     # other windows of the document with the same words: the removed one was listed once
     valid = words.valid(n)
-    valid = valid[np.isin(first[valid], first[at])]
     name = first ^ mix((second << np.uint64(32)) | words.doc_of(np.arange(len(first))).astype(np.uint64))
     hit = valid[np.isin(name[valid], name[at])]
     np.add.at(marks, hit, 1)
@@ -199,7 +189,7 @@ def _kept(ids: pa.Array, words: Words, gone: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()),
          texts.cast(pa.string()), pa.ListArray.from_arrays(span_offsets, spans)],
-        names=["doc_id", "n_words", "n_removed", "kept_text", "intervals"])
+        names=["id", "n_words", "n_removed", "kept_text", "intervals"])
 
 
 def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id",
@@ -207,29 +197,33 @@ def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id",
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) and intervals (removed
     words, begin included, end not) for every input row."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-                        "doc_id", "text")
-    texts = keyed.select("id", "text")
-    anchors = texts.mapInArrow(lambda it: _anchor_rows(it, n),
-                               "key long, anchor long, id long, settled boolean")
+    kind = docs.schema["doc_id"].dataType
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    anchors = texts.mapInArrow(lambda it: _anchor_rows(it, n), "key long, id long, anchor long")
     # a slice's settled rows are spread; its first holder meets those of other slices here
     same_key = Window.partitionBy("key")
     shared = (anchors.withColumn("low", F.min("id").over(same_key))
               .withColumn("high", F.max("id").over(same_key))
-              .filter(F.col("settled") | (F.col("low") < F.col("high")))
-              .groupBy("id").agg(F.collect_list("anchor").alias("anchors")))
-    windows = (keyed.join(shared, "id").select("id", "text", "anchors")
-               .mapInArrow(lambda it: _window_rows(it, n),
-                           "key long, id long, place long, settled boolean"))
+              .filter(F.col("anchor").isNotNull() | (F.col("low") < F.col("high")))
+              .groupBy("id").agg(F.collect_list(_low32(F.coalesce("anchor", "key"))).alias("anchors")))
+    # both joins with the texts use the same exchange
+    windows = (texts.join(shared, "id").select("id", "text", "anchors")
+               .mapInArrow(lambda it: _window_rows(it, n), "key long, id long, place long"))
     # the second hash is part of the window's name but not of the shuffle key
     same_window = Window.partitionBy("key", "part")
     repeated = (windows.repartition("key")
-                .withColumn("part", F.shiftright("place", 16).bitwiseAND(0xFFFF))
+                .withColumn("part", F.col("place").bitwiseAND(0xFFFF))
                 .withColumn("low", F.min("id").over(same_window))
-                .filter(F.col("settled") | (F.col("low") < F.col("id")))
+                .filter((F.col("place") < 0) | (F.col("low") < F.col("id")))
                 .groupBy("id").agg(F.collect_list("place").alias("places")))
-    return (keyed.join(repeated, "id", "left")
-            .select("doc_id", "text",
-                    F.coalesce("places", F.array().cast("array<long>")).alias("places"))
-            .mapInArrow(lambda it: _remove(it, n), REMOVED.format(kind=kind)))
+    return (texts.join(repeated, "id", "left")
+            .select("id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
+            .mapInArrow(lambda it: _remove(it, n), REMOVED)
+            .select(F.nullif("id", F.lit(NO_ID)).cast(kind).alias("doc_id"), "n_words", "n_removed",
+                    "kept_text", "intervals"))
+
+
+def _low32(value: Column) -> Column:
+    """The low 32 bits of a long as a signed int."""
+    low = value.bitwiseAND(0xFFFFFFFF)
+    return F.when(low >= 2 ** 31, low - 2 ** 32).otherwise(low).cast("int")

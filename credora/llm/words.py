@@ -43,13 +43,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept for the next batch."""
+    """base^0 .. base^(n-1) modulo 2^64, kept for the next batch unless a long text needs many."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+        steps = np.full(max(2 ** 16, 1 << n.bit_length()), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 2 * SLICE_BYTES:
             _POWERS[base] = have
     return have[:n]
 
