@@ -1,179 +1,186 @@
-"""Exact k-nearest neighbours by grid search with certificates, and SMOTE on top.
+"""Exact k-nearest neighbours by pivots and triangle bounds, and SMOTE on top.
 
-No all-pairs join: points meet only the points of neighbouring grid cells.
+No all-pairs join, in any number of dimensions:
 
 1. Exact duplicates collapse to one group (key: the coordinates) that keeps its k+1
-   smallest ids, found with a salted two-step top-k so a group holding a third of
-   the rows is still ranked in many tasks.
-2. Grid coordinates: the point itself (d <= 2) or its top two principal axes. Level-0 cell width is halved until no cell holds more than ``max_cell`` groups.
-3. At level t (width w * 2^t) every open query group joins the groups of its 3^g
-   neighbouring cells (g grid dimensions), keeps its k+1 nearest (distance, id), and
-   is certified when the (k+1)-th distance is below the distance to the edge of the
-   searched block (a lower bound for every point outside it) or the block covers all
-   points. Open groups move to the next, coarser level; each level is checkpointed.
-4. Members get their group's list minus themselves (salted join for hot groups).
-
+   smallest ids, found with a salted two-step top-k so a group holding a third of the
+   rows is still ranked in many tasks.
+2. About 4 sqrt(n) groups (smallest hashes) are pivots; every group joins the cell of its
+   nearest pivot. Cells of more than ``BLOCK`` groups are cut into blocks by hash.
+3. Inside its own block every group finds k+1 others, an upper bound for its (k+1)-th
+   distance; so is its (k+1)-th nearest pivot.
+4. A group then visits only the blocks of cells that can hold something nearer: distance
+   to the cell's pivot minus the cell's radius (triangle inequality) within the bound. Each
+   visit returns its k+1 nearest, and one window takes the best of all visits.
+5. Members get their group's list minus themselves (salted join for hot groups).
+
+Work grows about as n^1.5 plus what the bounds cannot rule out; there are no levels and no
+limits that could leave a group unanswered. Distances are computed with NumPy in blocks.
 Ties are broken by id, so the result is the unique k smallest (distance, id).
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-import os
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credora.operators.sample import hash_rank
 
-MAX_CELL = 256
-GRID_DIMS = 2
 SALTS = 16
-MAX_LEVELS = 64
+BLOCK = 1000          # groups in a block of a cell (max_cell)
+MAX_PIVOTS = 20_000   # held by the driver and sent to tasks
+VISITS = 20_000       # visiting groups that one task compares with a block
+PAIRS = 2_000_000     # distances held at once in a task
+
+
+def _sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of a to all rows of b, summed in column order."""
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        gap = a[:, j, None] - b[None, :, j]
+        out += gap * gap
+    return out
+
+
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    step = max(1, PAIRS // max(1, width))
+    for begin in range(0, n, step):
+        yield slice(begin, begin + step)
 
 
-def _sq_dist(a: list[Column], b: list[Column]) -> Column:
-    acc = None
-    for x, y in zip(a, b):
-        t = (x - y) * (x - y)
-        acc = t if acc is None else acc + t
-    return acc
+def _nearest(d2: np.ndarray, m: int) -> np.ndarray:
+    """Column indices of the m smallest distances of each row, ties by column."""
+    return np.argsort(d2, axis=1, kind="stable")[:, :m]
 
 
 def knn(df: DataFrame, cols: list[str], k: int = 5, id_col: str = "id",
-        max_cell: int = MAX_CELL, salts: int = SALTS) -> DataFrame:
+        max_cell: int = BLOCK, salts: int = SALTS) -> DataFrame:
     """(id, nn_rank, nn_id, dist): the k nearest other rows of every row (Euclidean over
     ``cols``, rows with a NULL coordinate skipped), ties by smaller id."""
     from credora.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    d = len(cols)
-    notnull = F.lit(True)
+    complete = F.lit(True)
     for c in cols:
-        notnull = notnull & F.col(f"`{c}`").isNotNull()
+        complete = complete & F.col(f"`{c}`").isNotNull()
     # coordinates travel as one array column: few attributes keep planning cheap in any d
-    pts = df.where(notnull).select(F.col(id_col).alias("_id"),
-                                   F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_vec"))
-    X = ["_vec"]
+    pts = df.where(complete).select(F.col(id_col).alias("_id"),
+                                    F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_vec"))
 
     # 1. duplicate groups -> k+1 smallest ids each (salted two-step top-k)
     salted = pts.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)))
-    w1 = Window.partitionBy(*X, "_s").orderBy("_id")
-    part = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k + 1)
-    w2 = Window.partitionBy(*X).orderBy("_id")
-    tops = part.withColumn("_pos", F.row_number().over(w2)).where(F.col("_pos") <= k + 1) \
-        .withColumn("_gid", F.min("_id").over(Window.partitionBy(*X))) \
-        .select("_gid", "_id", "_pos", *X).checkpoint()
-    groups = tops.where(F.col("_pos") == 1).select("_gid", *X)
+    first = Window.partitionBy("_vec", "_s").orderBy("_id")
+    part = salted.withColumn("_r1", F.row_number().over(first)).where(F.col("_r1") <= k + 1)
+    tops = part.withColumn("_pos", F.row_number().over(Window.partitionBy("_vec").orderBy("_id"))) \
+        .where(F.col("_pos") <= k + 1) \
+        .withColumn("_gid", F.min("_id").over(Window.partitionBy("_vec"))) \
+        .select("_gid", "_id", "_pos", "_vec").checkpoint()
+    groups = tops.where(F.col("_pos") == 1).select("_gid", "_vec")
     tops = tops.select("_gid", F.col("_id").alias("_nid"))
-
-    # grid coordinates: the coordinates themselves when d <= GRID_DIMS, else the top
-    # principal axes (an orthonormal projection never exceeds the true distance, so the
-    # block-edge bound stays valid; distances are always computed on the coordinates)
-    if d <= GRID_DIMS:
-        proj = [F.col("_vec")[j].alias(f"_g{j}") for j in range(d)]
-    else:
-        from credora.operators.pca import fit_pca
-        wide = groups.select(*[F.col("_vec")[j].alias(f"c{j}") for j in range(d)])
-        axes = fit_pca(wide, [f"c{j}" for j in range(d)], standardize=False).components[:GRID_DIMS]
-        proj = [sum((F.lit(float(a)) * F.col("_vec")[i] for i, a in enumerate(ax)), F.lit(0.0))
-                .alias(f"_g{j}") for j, ax in enumerate(axes)]
-    groups = groups.select("*", *proj).checkpoint()
-    gx = [f"_g{j}" for j in range(len(proj))]
-    box = groups.agg(F.count(F.lit(1)).alias("n"),
-                     *[F.min(c).alias(f"lo{i}") for i, c in enumerate(gx)],
-                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(gx)]).first()
-    n = box["n"]
-    scale_abs = max([abs(v) for v in [box[f"lo{i}"] for i in range(len(gx))] +
-                     [box[f"hi{i}"] for i in range(len(gx))] if v is not None] + [1.0])
+    n = groups.count()
     if n == 0:
         return spark.createDataFrame([], f"{id_col} long, nn_rank int, nn_id long, dist double")
-    lo = [box[f"lo{i}"] for i in range(len(gx))]
-    hi = [box[f"hi{i}"] for i in range(len(gx))]
-    span = max([h - l for h, l in zip(hi, lo)] + [0.0])
-    if span <= 0:
-        span = 1.0
-    # 2. level-0 width: start near max_cell / 4 per cell on average, halve until bounded
-    w = span / max(1.0, math.ceil((n / (max_cell / 4.0)) ** (1.0 / max(1, len(gx)))))
-    # nested grids: the largest cell count can only fall as the width halves, so the
-    # coarsest bounded width is found by galloping + bisection over halvings
-    def max_cell_at(j: int) -> int:
-        wj = w / (2.0 ** j)
-        mx = groups.groupBy(*[F.floor(F.col(c) / wj) for c in gx]).count() \
-            .agg(F.max("count")).first()[0]
-        if os.environ.get("CREDORA_DEBUG"):
-            print("knn width", wj, "max cell", mx)
-        return mx
-
-    if max_cell_at(0) > max_cell:
-        lo_j, hi_j = 0, 1          # galloping: probes 1, 2, 4, ... then bisects
-        while hi_j < 64 and max_cell_at(hi_j) > max_cell:
-            lo_j, hi_j = hi_j, hi_j * 2
-        while lo_j + 1 < hi_j:
-            mid = (lo_j + hi_j) // 2
-            if max_cell_at(mid) <= max_cell:
-                hi_j = mid
-            else:
-                lo_j = mid
-        w = w / (2.0 ** hi_j)
-
-    # 3. level search
-    offsets = list(itertools.product((-1, 0, 1), repeat=len(gx)))
-    queries = groups
-    done = []
-    level = 0
-    while True:
-        wl = w * (2 ** level)
-        cell = [F.floor(F.col(c) / wl).cast("long") for c in gx]
-        qcols = X + gx
-        q = queries.select(F.col("_gid").alias("_q"), *[F.col(x).alias(f"q{x}") for x in qcols],
-                           *[c.alias(f"_c{i}") for i, c in enumerate(cell)])
-        q = q.withColumn("_o", F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])))
-        q = q.select("*", *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_k{i}") for i in range(len(gx))])
-        data = groups.select(F.col("_gid").alias("_v"), *X,
-                             *[c.alias(f"_k{i}") for i, c in enumerate(cell)])
-        pairs = q.join(data, [f"_k{i}" for i in range(len(gx))]) \
-            .select("_q", *[f"_c{i}" for i in range(len(gx))], *[f"q{c}" for c in gx], "_v",
-                    _sq_dist([F.col("q_vec")[j] for j in range(d)],
-                             [F.col("_vec")[j] for j in range(d)]).alias("_d2"))
-        cand = pairs.join(tops, pairs._v == tops._gid).drop("_gid", "_v")
-        wr = Window.partitionBy("_q").orderBy("_d2", "_nid")
-        best = cand.withColumn("_rank", F.row_number().over(wr)).where(F.col("_rank") <= k + 1)
-        # distance from the query to the edge of its searched block, and block coverage
-        edge, covers = None, F.lit(True)
-        for i, c in enumerate(gx):
-            ci = F.col(f"_c{i}")
-            qi = F.col(f"q{c}")
-            e = F.least(qi - (ci - 1) * wl, (ci + 2) * wl - qi)
-            edge = e if edge is None else F.least(edge, e)
-            covers = covers & ((ci - 1) * wl <= F.lit(lo[i])) & ((ci + 2) * wl > F.lit(hi[i]))
-        per_q = Window.partitionBy("_q")   # same partitioning as the ranking window: no shuffle
-        safe = edge - 1e-9 * (wl + F.lit(scale_abs))
-        ok = covers | ((F.count(F.lit(1)).over(per_q) == k + 1) & (safe > 0)
-                       & (F.max("_d2").over(per_q) < safe * safe))
-        lev = best.select("_q", "_rank", "_nid", "_d2", ok.alias("_ok")).checkpoint()
-        done.append(lev.where("_ok").drop("_ok"))
-        open_q = lev.where(~F.col("_ok")).select(F.col("_q").alias("_gid")).distinct()
-        if os.environ.get("CREDORA_DEBUG"):
-            print("knn level", level, "width", wl, "open", open_q.count())
-        if open_q.isEmpty() or level >= MAX_LEVELS:
-            break
-        queries = groups.join(open_q, "_gid")
-        level += 1
-
-    lists = done[0]
-    for d in done[1:]:
-        lists = lists.unionByName(d)
-    # 4. members: the group's list minus themselves; hot groups salted over SALTS tasks
-    members = pts.join(groups.select(F.col("_gid"), *X), X) \
+
+    # 2. pivots: at most MAX_PIVOTS points; cells and their radii
+    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(4 * math.sqrt(n))))
+    picked = groups.orderBy(F.xxhash64("_gid"), "_gid").limit(n_pivots).collect()
+    pivots = np.array([r["_vec"] for r in picked], dtype=float).reshape(len(picked), len(cols))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["_vec"].to_numpy()) if len(pdf) else np.empty((0, len(cols)))
+            for s in _chunks(len(x), len(pivots)):
+                d2 = _sq_dists(x[s], pivots)
+                near = np.sort(np.partition(d2, min(k, d2.shape[1] - 1), axis=1)[:, :k + 1], axis=1)
+                bound = near[:, k] if near.shape[1] > k else np.full(len(d2), np.inf)
+                yield pd.DataFrame({"_gid": pdf["_gid"].to_numpy()[s], "_vec": list(x[s]),
+                                    "_cell": d2.argmin(axis=1), "_r2": d2.min(axis=1), "_tau2": bound})
+
+    placed = groups.mapInPandas(
+        assign, "_gid long, _vec array<double>, _cell int, _r2 double, _tau2 double").checkpoint()
+    cells = placed.groupBy("_cell").agg(F.max("_r2").alias("r2"), F.count(F.lit(1)).alias("n")).collect()
+    radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=int)
+    for r in cells:  # one row for each pivot
+        radius[r["_cell"]] = math.sqrt(r["r2"])
+        blocks[r["_cell"]] = math.ceil(r["n"] / max_cell)
+    n_blocks = F.array(*[F.lit(int(b)) for b in blocks])
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_gid"), F.get(n_blocks, F.col("_cell"))).cast("int"))
+
+    # 3. the bound from the own block
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, tau = np.stack(pdf["_vec"].to_numpy()), pdf["_tau2"].to_numpy().copy()
+        for s in _chunks(len(x), len(x)):
+            d2 = _sq_dists(x[s], x)
+            if d2.shape[1] > k:
+                tau[s] = np.minimum(tau[s], np.partition(d2, k, axis=1)[:, k])
+        return pd.DataFrame({"_gid": pdf["_gid"], "_vec": pdf["_vec"], "_tau2": tau})
+
+    bounded = placed.groupBy("_cell", "_block").applyInPandas(
+        own, "_gid long, _vec array<double>, _tau2 double")
+
+    # 4. visits
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["_vec"].to_numpy()) if len(pdf) else np.empty((0, len(cols)))
+            for s in _chunks(len(x), len(pivots)):
+                to_pivot = np.sqrt(_sq_dists(x[s], pivots))
+                tau = np.sqrt(pdf["_tau2"].to_numpy()[s])[:, None]
+                # rounding: distances carry a relative error far below 1e-9
+                margin = 1e-9 * (to_pivot + np.where(np.isfinite(radius), radius, 0))
+                q, cell = np.nonzero(to_pivot - radius[None, :] <= tau + margin)
+                times = blocks[cell]
+                at = np.repeat(np.arange(len(q)), times)
+                which = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"_cell": cell[at].astype(np.int32), "_block": which.astype(np.int32),
+                                    "_gid": pdf["_gid"].to_numpy()[s][q[at]],
+                                    "_vec": [x[s][i] for i in q[at]]})
+
+    visits = bounded.mapInPandas(route, "_cell int, _block int, _gid long, _vec array<double>").checkpoint()
+    most = visits.groupBy("_cell", "_block").count().agg(F.max("count")).first()[0]
+    salt = F.lit(math.ceil(most / VISITS))
+    visitors = visits.withColumn("_t", F.pmod(F.xxhash64("_gid"), salt).cast("int"))
+    hosts = placed.select("_cell", "_block", "_gid", "_vec",
+                          F.explode(F.sequence(F.lit(0), (salt - 1).cast("int"))).alias("_t"))
+
+    def compare(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"_q": [], "_v": [], "_d2": []}).astype({"_q": "int64", "_v": "int64"})
+        if not len(asking) or not len(there):
+            return none
+        there = there.sort_values("_gid")
+        x, ids = np.stack(there["_vec"].to_numpy()), there["_gid"].to_numpy()
+        q, names = np.stack(asking["_vec"].to_numpy()), asking["_gid"].to_numpy()
+        out = []
+        for s in _chunks(len(q), len(x)):
+            d2 = _sq_dists(q[s], x)
+            best = _nearest(d2, k + 1)
+            out.append(pd.DataFrame({"_q": np.repeat(names[s], best.shape[1]), "_v": ids[best].ravel(),
+                                     "_d2": np.take_along_axis(d2, best, axis=1).ravel()}))
+        return pd.concat(out) if out else none
+
+    keys = ["_cell", "_block", "_t"]
+    found = visitors.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(
+        compare, "_q long, _v long, _d2 double")
+    # a group's k+1 nearest members are in its k+1 nearest groups by (distance, smallest id)
+    near = found.withColumn("_g", F.row_number().over(Window.partitionBy("_q").orderBy("_d2", "_v"))) \
+        .where(F.col("_g") <= k + 1)
+    cand = near.join(tops, F.col("_v") == F.col("_gid")).select("_q", "_nid", "_d2")
+    lists = cand.withColumn("_rank", F.row_number().over(Window.partitionBy("_q").orderBy("_d2", "_nid"))) \
+        .where(F.col("_rank") <= k + 1).checkpoint()
+
+    # 5. members: the group's list minus themselves; hot groups salted over SALTS tasks
+    members = pts.join(groups, "_vec") \
         .select("_id", "_gid", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_s"))
     rep = lists.select(F.col("_q").alias("_gid"), "_rank", "_nid", "_d2",
                        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
     j = members.join(rep, ["_gid", "_s"]).where(F.col("_nid") != F.col("_id"))
-    wm = Window.partitionBy("_id").orderBy("_rank")
-    out = j.withColumn("nn_rank", F.row_number().over(wm)).where(F.col("nn_rank") <= k)
+    out = j.withColumn("nn_rank", F.row_number().over(Window.partitionBy("_id").orderBy("_rank"))) \
+        .where(F.col("nn_rank") <= k)
     return out.select(F.col("_id").alias(id_col), "nn_rank", F.col("_nid").alias("nn_id"),
                       F.sqrt("_d2").alias("dist"))
 
@@ -184,24 +191,30 @@ def smote(df: DataFrame, cols: list[str], label: str = "loan_status", minority=1
 
     Each new row is ``x + u * (neighbour - x)`` for one of the k nearest minority
     neighbours of a minority row x. Base rows are used round-robin in hash order
-    (every row ``floor(new / n_min)`` times, the first ``new mod n_min`` once more);
-    the neighbour and u come from md5 of (seed, id, copy), so the output is
-    repeatable and independent of partitioning. Output: (id, cols..., label,
-    synthetic); synthetic ids are negative."""
+    (every row ``floor(new / n)`` times, the first ``new mod n`` once more); the
+    neighbour and u come from md5 of (seed, id, copy), so the output is repeatable and
+    independent of partitioning. Minority rows with a NULL coordinate count towards the
+    share but are no base rows (n is the number of complete ones), so the number of new
+    rows is always the number due. Output: (id, cols..., label, synthetic); synthetic ids
+    are negative."""
     y = F.col(label)
-    counts = {r["c"]: r["n"] for r in df.groupBy(y.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_min = counts.get(minority, 0)
-    n_maj = max([v for c, v in counts.items() if c != minority] + [0])
+    base = df.select(id_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols], label)
+    complete = F.lit(True)
+    for c in cols:
+        complete = complete & F.col(f"`{c}`").isNotNull()
+    counts = {r["c"]: (r["n"], r["m"]) for r in base.groupBy(y.alias("c")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(complete).alias("m")).collect()}
+    n_min, n_base = counts.get(minority, (0, 0))
+    n_maj = max([v for c, (v, _) in counts.items() if c is not None and c != minority] + [0])
     new = int(n_maj * ratio - n_min)
     if new < 0:
         raise ValueError("minority already above the requested ratio: nothing to generate")
-    if n_min <= k:
-        raise ValueError(f"need more than k={k} minority rows, got {n_min}")
-    base = df.select(id_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols], label)
-    mino = base.where(y == F.lit(minority))
+    if n_base <= k:
+        raise ValueError(f"need more than k={k} minority rows, got {n_base}")
+    mino = base.where((y == F.lit(minority)) & complete)
     nn = knn(mino, cols, k, id_col)
     ranked = hash_rank(mino, id_col, None, seed)
-    q, rem = divmod(new, n_min)
+    q, rem = divmod(new, n_base)
     copies = F.lit(q) + F.when(F.col("_rank0") < rem, 1).otherwise(0)
     gen = ranked.where(copies > 0).select(
         id_col, "_rank0", *cols, F.explode(F.sequence(F.lit(0), copies - 1)).alias("_j"))
@@ -213,7 +226,7 @@ def smote(df: DataFrame, cols: list[str], label: str = "loan_status", minority=1
     nbr = mino.select(F.col(id_col).alias("nn_id"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     syn = gen.join(nn.select(id_col, "nn_rank", "nn_id"), [id_col, "nn_rank"]).join(nbr, "nn_id")
     syn = syn.select(
-        (-(F.lit(1) + F.col("_rank0") + F.col("_j") * F.lit(n_min))).cast("long").alias(id_col),
+        (-(F.lit(1) + F.col("_rank0") + F.col("_j") * F.lit(n_base))).cast("long").alias(id_col),
         *[(F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols],
         F.lit(minority).cast(dict(df.dtypes)[label]).alias(label),
         F.lit(1).alias("synthetic"))

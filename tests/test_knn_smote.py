@@ -53,3 +53,39 @@ def test_smote_rows_on_segments_and_refusals(spark):
         smote(tiny, ["a", "b"], "y")
     with pytest.raises(ValueError):
         smote(df, ["a", "b"], "y", 1, 0.1)
+
+
+def test_knn_one_hot_space_with_tied_projections(spark):
+    """Rows that share many coordinates: a 2 x 2 x 300 grid, and 2 blocks in each cell."""
+    rows = [(a * 600 + b * 300 + c, float(a), float(b), float(c)) for a in range(2) for b in range(2)
+            for c in range(300)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    want = _brute([r[0] for r in rows], np.array([r[1:] for r in rows]), 4)
+    got = {}
+    for r in knn(df, ["a", "b", "c"], 4, max_cell=7).collect():
+        got.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == want
+
+
+def test_knn_far_from_the_origin_and_few_rows(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(200, 3)) + 1e7
+    df = spark.createDataFrame([(int(i), *map(float, x)) for i, x in enumerate(X)],
+                               "id long, a double, b double, c double")
+    want = _brute(list(range(200)), X, 3)
+    got = {}
+    for r in knn(df, ["a", "b", "c"], 3).collect():
+        got.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == want
+    few = knn(df.where("id < 3"), ["a", "b", "c"], 5).collect()
+    assert len(few) == 6  # every other row is a neighbour
+    assert knn(df.where("id < 0"), ["a"], 5).count() == 0
+
+
+def test_smote_makes_the_rows_due_despite_null_coordinates(spark):
+    rows = [(i, None if i % 10 == 0 else float(i % 97), float(i % 31), int(i % 5 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y long")
+    out = smote(df, ["a", "b"], "y", 1, 0.5, 5, 42)
+    n_min = sum(r[3] for r in rows)
+    assert out.where("synthetic = 1").count() == int((2000 - n_min) * 0.5 - n_min)
+    assert out.where("synthetic = 1 AND (a IS NULL OR b IS NULL)").count() == 0
