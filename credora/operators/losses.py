@@ -28,11 +28,13 @@ def weighted_bce(df: DataFrame, label: str = "loan_status", score: str = "score"
 def focal_loss(df: DataFrame, label: str = "loan_status", score: str = "score",
                alpha: float = 0.25, gamma: float = 2.0, eps: float = 1e-8,
                from_logits: bool = False) -> DataFrame:
-    p, y = _prob(score, from_logits, eps), F.col(label).cast("double")
-    bce = -y * F.log(p) - (1 - y) * F.log(1 - p)
-    pt = F.when(y == 1, p).otherwise(1 - p)
-    aw = F.when(y == 1, F.lit(alpha)).otherwise(F.lit(1 - alpha))
-    return df.agg(F.avg(aw * F.pow(1 - pt, gamma) * bce).alias("loss"))
+    """mean(-a * (1 - q)^gamma * ln q), q the probability given to the row's own class and a
+    its class weight (alpha for class 1, 1 - alpha for class 0)."""
+    positive = F.col(label) == 1
+    prob = _prob(score, from_logits, eps)
+    rows = df.select(F.when(positive, prob).otherwise(1 - prob).alias("q"),
+                     F.when(positive, alpha).otherwise(1 - alpha).alias("a"))
+    return rows.agg(F.avg(-F.col("a") * F.pow(1 - F.col("q"), gamma) * F.ln("q")).alias("loss"))
 
 
 def soft_vote(df: DataFrame, score_cols: list[str], name: str = "score_mean") -> DataFrame:

@@ -94,34 +94,29 @@ def roc_auc(df: DataFrame, label: str = "loan_status", score: str = "score",
 def roc_curve(df: DataFrame, label: str = "loan_status", score: str = "score",
               part_cols: list[str] | None = None, drop_intermediate: bool = False) -> DataFrame:
     """(threshold, fpr, tpr): one point per distinct score (predict positive when
-    score >= threshold), from (inf, 0, 0). ``drop_intermediate`` removes points on
-    a straight segment, found by joining each point to its neighbours by index."""
+    score >= threshold), from (inf, 0, 0). ``drop_intermediate`` removes points on a straight
+    segment with equal steps: those whose score and the next lower one add the same (integer)
+    counts of both classes."""
     parts = list(part_cols or [])
-    sc = prefix_sums(_score_counts(df, label, score, parts), ["s"], ["n0", "n1"], parts)
+    counts = _score_counts(df, label, score, parts).withColumn("one", F.lit(1).cast("bigint"))
+    sc = prefix_sums(counts, ["s"], ["n0", "n1", "one"], parts)
+    start = sc.groupBy(*parts).agg(F.lit(float("inf")).alias("threshold"),
+                                   F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    if drop_intermediate:
+        lower = sc.select(*[F.col(c).alias(f"_l_{c}") for c in parts],
+                          (F.col("one_before") + 1).alias("_place"),
+                          F.col("n0").alias("_n0"), F.col("n1").alias("_n1"))
+        near = F.col("one_before") == F.col("_place")
+        for c in parts:
+            near = near & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+        sc = sc.join(lower, near, "left").where(
+            F.col("_place").isNull() | (F.col("n0") != F.col("_n0")) | (F.col("n1") != F.col("_n1")))
     fp = F.col("n0_total") - F.col("n0_before")
     tp = F.col("n1_total") - F.col("n1_before")
     pts = sc.select(*parts, F.col("s").cast("double").alias("threshold"),
                     F.try_divide(fp.cast("double"), F.col("n0_total")).alias("fpr"),
                     F.try_divide(tp.cast("double"), F.col("n1_total")).alias("tpr"))
-    start = sc.groupBy(*parts).agg(F.lit(float("inf")).alias("threshold"),
-                                   F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    curve = pts.unionByName(start)
-    if not drop_intermediate:
-        return curve
-    idx = prefix_sums(curve.withColumn("_one", F.lit(1).cast("bigint"))
-                      .withColumn("_neg", -F.col("threshold")), ["_neg"], ["_one"], parts) \
-        .select(*parts, "threshold", "fpr", "tpr", F.col("_one_before").alias("i"),
-                F.col("_one_total").alias("m"))
-    prev = idx.select(*parts, (F.col("i") + 1).alias("i"), F.col("fpr").alias("pf"),
-                      F.col("tpr").alias("pt"))
-    nxt = idx.select(*parts, (F.col("i") - 1).alias("i"), F.col("fpr").alias("nf"),
-                     F.col("tpr").alias("nt"))
-    j = idx.join(prev, parts + ["i"], "left").join(nxt, parts + ["i"], "left")
-    # keep ends and every point where the second difference is non-zero
-    bend = ((F.col("nf") - 2 * F.col("fpr") + F.col("pf")) != 0) | \
-           ((F.col("nt") - 2 * F.col("tpr") + F.col("pt")) != 0)
-    return j.where(F.col("pf").isNull() | F.col("nf").isNull() | bend) \
-        .select(*parts, "threshold", "fpr", "tpr")
+    return pts.unionByName(start)
 
 
 def pr_curve(df: DataFrame, label: str = "loan_status", score: str = "score",
@@ -180,16 +175,27 @@ def f1_threshold_sweep(df: DataFrame, label: str = "loan_status", score: str = "
                       (F.col("j") == best).cast("int").alias("best"))
 
 
-def model_comparison(df: DataFrame, label: str, score_cols: list[str],
-                     with_mean: bool = True) -> DataFrame:
-    """AUC of each model's score and of their mean, from one long (model, score) table."""
+def _model_scores(df: DataFrame, label: str, score_cols: list[str], with_mean: bool) -> DataFrame:
+    """Long (label, model, score) of every model and of their mean."""
     cols = list(score_cols)
     base = df.select(label, *cols)
     if with_mean:
         base = base.withColumn("mean", sum(F.col(c) for c in cols) / len(cols))
         cols = cols + ["mean"]
-    long = base.unpivot([label], cols, "model", "score")
-    return roc_auc(long, label, "score", ["model"])
+    return base.unpivot([label], cols, "model", "score")
+
+
+def model_comparison(df: DataFrame, label: str, score_cols: list[str],
+                     with_mean: bool = True) -> DataFrame:
+    """AUC of each model's score and of their mean, from one long (model, score) table."""
+    return roc_auc(_model_scores(df, label, score_cols, with_mean), label, "score", ["model"])
+
+
+def model_curves(df: DataFrame, label: str, score_cols: list[str], with_mean: bool = True,
+                 drop_intermediate: bool = True) -> DataFrame:
+    """ROC points (model, threshold, fpr, tpr) of each model's score and of their mean."""
+    return roc_curve(_model_scores(df, label, score_cols, with_mean), label, "score", ["model"],
+                     drop_intermediate)
 
 
 def prediction_shares(df: DataFrame, pred: str = "prediction") -> DataFrame:

@@ -13,7 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER_KEY_BUCKETS = 64
+MIN_BUCKETS = 64
+MAX_PARTS = 10_000
+ABSENT = "\u0000"
+
+
+def n_order_buckets(spark) -> int:
+    """As many buckets as the session's shuffles have tasks, so that parallelism follows the
+    cluster and not a constant."""
+    return max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions", "64")))
+
+
+def with_part_keys(df: DataFrame, part_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Text copies of the part columns in which NULL is a value of its own, so that grouping,
+    windows and joins all keep the rows of a NULL part."""
+    keys = [f"_p{i}" for i in range(len(part_cols))]
+    for k, c in zip(keys, part_cols):
+        df = df.withColumn(k, F.coalesce(F.col(c).cast("string"), F.lit(ABSENT)))
+    return df, keys
 
 
 def bucket_of(value: Column, bounds: Column, n_bounds: int) -> Column:
@@ -30,39 +47,49 @@ def bucket_of(value: Column, bounds: Column, n_bounds: int) -> Column:
 
 
 def with_order_buckets(df: DataFrame, order_col: str, part_cols: list[str],
-                       n_buckets: int = ORDER_KEY_BUCKETS, accuracy: int = 10000,
+                       n_buckets: int | None = None, accuracy: int = 10000,
                        bucket_col: str = "_bkt") -> DataFrame:
-    """Attach a bucket id that is monotone in ``order_col`` within each part."""
+    """Attach a bucket id that is monotone in ``order_col`` within each part. More than
+    ``MAX_PARTS`` parts raise: their boundaries are held by the driver and broadcast."""
+    spark = df.sparkSession
+    n_buckets = n_buckets or n_order_buckets(spark)
     if n_buckets <= 1:
         return df.withColumn(bucket_col, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    parts = list(part_cols)
+    keyed, parts = with_part_keys(df, part_cols)
+    bounds = keyed.groupBy(*parts).agg(
+        F.percentile_approx(F.col(order_col), probs, max(accuracy, 20 * n_buckets)).alias("_bounds"))
+    rows = bounds.limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} parts in {part_cols}")
     if not parts:
-        df, parts = df.withColumn("_part", F.lit(0)), ["_part"]
-    bounds = df.groupBy(*parts).agg(
-        F.percentile_approx(F.col(order_col), probs, accuracy).alias("_bounds"))
-    # parts x 1 rows of n_buckets - 1 boundaries: bounded by the caller's part cardinality.
-    joined = df.join(F.broadcast(bounds), parts)
-    if not part_cols:
-        joined = joined.drop("_part")
+        found = rows[0]["_bounds"] if rows else None
+        if not found:
+            return df.withColumn(bucket_col, F.lit(0))
+        joined = df.withColumn("_bounds", F.array(*[F.lit(b) for b in found]))
+    else:
+        # bounded: at most MAX_PARTS rows of n_buckets - 1 boundaries
+        joined = keyed.join(F.broadcast(spark.createDataFrame(rows, bounds.schema)), parts)
     return (joined.withColumn(bucket_col, bucket_of(F.col(order_col), F.col("_bounds"), n_buckets - 1))
-            .drop("_bounds"))
+            .drop("_bounds", *parts))
 
 
 def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                 part_cols: list[str] | None = None, bucket_col: str | None = None,
-                n_buckets: int = ORDER_KEY_BUCKETS) -> DataFrame:
+                n_buckets: int | None = None) -> DataFrame:
     """Add ``<c>_before`` (sum of c over rows earlier in ``order_cols`` within the part)
-    and ``<c>_total`` (part total) for every c in ``sum_cols``.
+    and ``<c>_total`` (part total) for every c in ``sum_cols``. Rows of a NULL part are a
+    part of their own.
 
     ``order_cols`` must identify a row within its part (aggregate to distinct values
     first). ``bucket_col``: an existing column monotone in the order (e.g. a hash
     prefix); otherwise buckets come from approximate quantiles of ``order_cols[0]``.
     """
-    parts = list(part_cols or [])
+    own = [c for c in df.columns]
     if bucket_col is None:
-        df = with_order_buckets(df, order_cols[0], parts, n_buckets)
+        df = with_order_buckets(df, order_cols[0], list(part_cols or []), n_buckets)
         bucket_col = "_bkt"
+    df, parts = with_part_keys(df, list(part_cols or []))
     grp = parts + [bucket_col]
     bsum = df.groupBy(*grp).agg(*[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])
     before_w = (Window.partitionBy(*parts).orderBy(bucket_col)
@@ -76,9 +103,10 @@ def prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     ], *[F.sum(f"_bs_{c}").over(total_w).alias(f"{c}_total") for c in sum_cols])
     row_w = (Window.partitionBy(*grp).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, -1))
-    out = df.join(F.broadcast(offsets), grp)
+    # no hint: the window below needs the rows dealt by the same keys anyway
+    out = df.join(offsets, grp)
     return out.select(
-        *[F.col(c) for c in df.columns if c != "_bkt"],
+        *[F.col(c) for c in own if c != "_bkt"],
         *[(F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(row_w), F.lit(0))).alias(f"{c}_before")
           for c in sum_cols],
         *[F.col(f"{c}_total") for c in sum_cols],

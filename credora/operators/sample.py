@@ -18,7 +18,7 @@ HEX_DIGITS = 3
 
 
 def hash_order_key(id_col: str, seed) -> F.Column:
-    return F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
 def hash_rank(df: DataFrame, id_col: str = "id", part_cols: list[str] | None = None,
@@ -68,6 +68,6 @@ def class_weights(df: DataFrame, label: str = "loan_status") -> DataFrame:
 
 def with_class_weight(df: DataFrame, label: str = "loan_status", weight_col: str = "weight"
                       ) -> DataFrame:
-    """Attach the balanced weight per row (classes table is tiny: broadcast)."""
-    w = class_weights(df, label).select(F.col("class").alias(label), F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label)
+    """Attach the balanced weight per row; rows of a NULL label are a class of their own."""
+    w = class_weights(df, label).select(F.col("class").alias("_class"), F.col("weight").alias(weight_col))
+    return df.join(w, F.col(label).eqNullSafe(F.col("_class")), "left").drop("_class")
