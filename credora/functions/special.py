@@ -18,6 +18,11 @@ def normal_sf(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
+def _terms(a: float) -> int:
+    """Terms that suffice: both expansions need a multiple of sqrt(a) of them near x = a."""
+    return 10_000 + int(50 * math.sqrt(a))
+
+
 def _gamma_q(a: float, x: float) -> float:
     """Regularised upper incomplete gamma Q(a, x)."""
     if x <= 0:
@@ -26,12 +31,14 @@ def _gamma_q(a: float, x: float) -> float:
         term = 1.0 / a
         total = term
         ap = a
-        for _ in range(10000):
+        for _ in range(_terms(a)):
             ap += 1.0
             term *= x / ap
             total += term
             if abs(term) < abs(total) * 1e-16:
                 break
+        else:
+            raise ArithmeticError(f"tail series did not converge for a={a}, x={x}")
         return max(0.0, 1.0 - total * math.exp(-x + a * math.log(x) - math.lgamma(a)))
     # Lentz continued fraction for Q
     tiny = 1e-300
@@ -39,7 +46,7 @@ def _gamma_q(a: float, x: float) -> float:
     c = 1.0 / tiny
     d = 1.0 / b
     h = d
-    for i in range(1, 10000):
+    for i in range(1, _terms(a)):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b
@@ -49,8 +56,10 @@ def _gamma_q(a: float, x: float) -> float:
         d = 1.0 / d
         delta = d * c
         h *= delta
-        if abs(delta - 1.0) < 1e-16:
+        if abs(delta - 1.0) < 4e-16:
             break
+    else:
+        raise ArithmeticError(f"tail fraction did not converge for a={a}, x={x}")
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 

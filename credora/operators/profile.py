@@ -49,16 +49,14 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """count, mean, sample std, min, quartiles (exact, linear), max per column.
 
-    Two passes: the moments (whose counts also size the quantile step), then the
-    quantiles."""
-    long = _long(df, cols)
+    The slim numeric columns are written once; moments and quantiles read that table."""
+    long = _long(df, cols).checkpoint()
     moments = {r["feature"]: r for r in long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max")).collect()}
     q = {(r["feature"], r["p"]): r["q"] for r in exact_quantiles(
-        long, "value", list(probs), ["feature"],
-        counts={(c,): m["count"] for c, m in moments.items()}).collect()}
+        long, "value", list(probs), ["feature"]).collect()}
     names = [{0.25: "q25", 0.5: "q50", 0.75: "q75"}.get(p, f"q{int(p * 100)}") for p in probs]
     rows = [(c, m["count"], m["mean"], m["std"], m["min"], *[q.get((c, p)) for p in probs], m["max"])
             for c, m in moments.items()]

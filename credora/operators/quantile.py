@@ -1,12 +1,13 @@
-"""Exact quantiles (linear interpolation) by distributed selection.
-
-Spark's exact ``percentile`` keeps a value->count map per group and merges it in one
-task, which does not survive near-distinct doubles at volume. Here each wanted order
-statistic is found by narrowing: approximate quantiles give a value range [L, U]
-that must hold the rank, one conditional count checks it, and the loop repeats on
-the rows inside the range until it is small; a partitioned row_number then picks the
-exact value. A range whose ends are equal is resolved without a sort, so a single
-value holding a third of the rows costs nothing extra.
+"""Exact quantiles (linear interpolation) by distributed selection, one path for all sizes.
+
+Spark's exact ``percentile`` merges a value map of the whole group in one task. Here a
+sketch gives, for every wanted order statistic, a value range around it; one pass counts
+the distinct values inside each range (a value holding a third of the rows is one row) and
+the rows below it, which checks the sketch exactly. Ranges of more than ``select_rows``
+distinct values are cut by their own quantiles, and the part that holds the rank is kept:
+the count of distinct values shrinks with every turn, so the loop ends and a task never
+sorts more than ``select_rows`` rows. A range that missed its rank (a sketch off by more
+than its margin) is widened up to the whole column.
 """
 
 from __future__ import annotations
@@ -16,163 +17,118 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SELECT_ROWS = 4_000_000   # rows one window task may sort in the final step
-NARROW_ACCURACY = 10000
-MAX_ROUNDS = 8
-
+from credora.operators.running import bucket_of
 
-def _targets_df(spark, rows, key_cols):
-    schema = ", ".join([f"`{k}` {t}" for k, t in key_cols] +
-                       ["_r bigint", "_lo double", "_hi double", "_below bigint"])
-    return spark.createDataFrame(rows, schema)
+SELECT_ROWS = 1_000_000   # distinct values one window task may sort
+ACCURACY = 10_000
+MAX_KEYS = 10_000         # the driver holds one row for each key and probability
+PARTS = 64                # parts that a large range is cut into
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
-                    key_cols: list[str] | None = None,
-                    select_rows: int = SELECT_ROWS, counts: dict | None = None) -> DataFrame:
-    """One row per (key..., p): ``q`` = linear-interpolated quantile of non-null values.
-
-    Keys must be low-cardinality (column names, classes): the per-key target table
-    is collected to the driver while narrowing. ``counts`` ({key tuple: non-null count})
-    skips the counting pass when the caller already has them.
-    """
-    keys = list(key_cols or [])
-    if not keys:  # a constant key keeps every join an equi-join
-        out = exact_quantiles(df.withColumn("_key", F.lit(0)), value_col, probs, ["_key"],
-                              select_rows, {(0,): n for n in (counts or {}).values()} or None)
-        return out.drop("_key")
-    spark = df.sparkSession
+                    key_cols: list[str] | None = None, select_rows: int = SELECT_ROWS) -> DataFrame:
+    """One row per (key..., p): ``q`` = linear-interpolated quantile of the values that are
+    neither NULL nor NaN. NULL keys are groups of their own; a group without values has no
+    row. More than ``MAX_KEYS`` keys raise."""
+    spark, keys = df.sparkSession, list(key_cols or [])
     base = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))) \
         .select(*keys, F.col(value_col).cast("double").alias("_v"))
-    key_types = [(k, dict(base.dtypes)[k]) for k in keys]
-    if counts is None:
-        counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect()
-    else:
-        counts = [dict(zip(keys, k), _n=n) for k, n in counts.items() if n]
-
-    schema = ", ".join([f"`{k}` {t}" for k, t in key_types] + ["p double", "q double"])
-    small = [row for row in counts if row["_n"] <= select_rows]
-    big = [row for row in counts if row["_n"] > select_rows]
+    kinds = [(k, dict(base.dtypes)[k]) for k in keys]
+    out_schema = ", ".join([f"`{k}` {t}" for k, t in kinds] + ["p double", "q double"])
+
+    def sketch(margin: float):
+        grid = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)} | {0.0, 1.0})
+        rows = base.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+            F.percentile_approx("_v", grid, ACCURACY).alias("_b")).limit(MAX_KEYS + 1).collect()
+        if len(rows) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} keys in {keys}")
+        return rows, {p: i for i, p in enumerate(grid)}
+
+    margin = 3.0 / ACCURACY
+    found: dict[tuple, float] = {}
+    sizes: dict[tuple, int] = {}
+    while True:
+        rows, at = sketch(margin)
+        ranges, wanted = [], []
+        for row in rows:
+            key, n = tuple(row[k] for k in keys), row["_n"]
+            if not n:
+                continue
+            sizes[key] = n
+            for p in probs:
+                low = row["_min"] if p - margin <= 0 else row["_b"][at[p - margin]]
+                high = row["_max"] if p + margin >= 1 else row["_b"][at[p + margin]]
+                h = (n - 1) * p
+                need = [r for r in {math.floor(h), min(math.floor(h) + 1, n - 1)} if (key, r) not in found]
+                if need:
+                    # the neighbouring rank may lie just outside: a range needs both
+                    ranges.append((*key, len(ranges), low, high))
+                    wanted += [(len(ranges) - 1, key, r) for r in need]
+        if not wanted:
+            break
+        found.update(_pick(spark, base, kinds, ranges, wanted, select_rows))
+        if all((key, r) in found for _, key, r in wanted):
+            break
+        margin = margin * 8 if margin < 1 else 2.0
     out = []
-    if small:
-        # a key of at most select_rows values: Spark's exact percentile keeps a value map
-        # bounded by that count, one pass for all such keys
-        part = base
-        if big:
-            sk = spark.createDataFrame([tuple(r[k] for k in keys) for r in small],
-                                       ", ".join(f"`{k}` {t}" for k, t in key_types))
-            part = base.join(F.broadcast(sk), keys)
-        got = part.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-                                      .alias("_q")).collect()
-        for row in got:
-            out += [(*[row[k] for k in keys], float(p), float(q)) for p, q in zip(probs, row["_q"])]
-    if big:
-        out += _select_quantiles(spark, base, keys, key_types, big, probs, select_rows)
-    return spark.createDataFrame(out, schema)
-
-
-def _select_quantiles(spark, base, keys, key_types, counts, probs, select_rows):
-    # rank targets: (key tuple, rank) -> needed for (p, lo/hi)
-    wanted = {}
-    plan = []  # (key, p, r_lo, r_hi, frac)
-    for row in counts:
-        key = tuple(row[k] for k in keys)
-        n = row["_n"]
+    for key, n in sizes.items():
         for p in probs:
             h = (n - 1) * p
-            lo = int(math.floor(h))
-            hi = min(lo + 1, n - 1)
-            plan.append((key, p, lo, hi, h - lo))
-            wanted.setdefault(key, set()).update({lo, hi})
-
-    # state per target: [L, U, below, cnt, value or None]
-    state = {(k, r): [-math.inf, math.inf, 0, None, None] for k, rs in wanted.items() for r in rs}
-    n_of = {tuple(row[k] for k in keys): row["_n"] for row in counts}
-    for (k, r), st in state.items():
-        st[3] = n_of[k]
-
-    for _ in range(MAX_ROUNDS):
-        open_t = [(k, r) for (k, r), st in state.items()
-                  if st[4] is None and st[3] > select_rows]
-        if not open_t:
-            break
-        rows = [(*k, r, st[0], st[1], st[2]) for (k, r) in open_t for st in [state[(k, r)]]]
-        tdf = _targets_df(spark, rows, key_types)
-        inside = base.join(F.broadcast(tdf), keys) \
-            .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        tk = keys + ["_r"]
-        # relative position of the rank inside the range, with a margin for the sketch error
-        pos = {(k, r): (r - state[(k, r)][2]) / max(1, state[(k, r)][3]) for (k, r) in open_t}
-        margin = 3.0 / NARROW_ACCURACY
-        # percentile_approx needs literal probabilities: sketch a fixed grid instead and
-        # pick the neighbouring grid points of each target's position on the driver.
-        grid = [i / 512 for i in range(513)]
-        sk = inside.groupBy(*tk).agg(F.percentile_approx("_v", grid, NARROW_ACCURACY).alias("_b"),
-                                     F.min("_v").alias("_mn"), F.max("_v").alias("_mx")).collect()
-        new_bounds = {}
-        for row in sk:
-            k = tuple(row[c] for c in keys)
-            r = row["_r"]
-            if row["_mn"] == row["_mx"]:
-                state[(k, r)][4] = row["_mn"]
-                continue
-            b = row["_b"]
-            p = pos[(k, r)]
-            lo_i = max(0, int(math.floor((p - margin) * 512)) - 1)
-            hi_i = min(512, int(math.ceil((p + margin) * 512)) + 1)
-            new_bounds[(k, r)] = (b[lo_i] if lo_i > 0 else row["_mn"], b[hi_i] if hi_i < 512 else row["_mx"])
-        if not new_bounds:
-            continue
-        nb_rows = [(*k, r, lo, hi, state[(k, r)][0], state[(k, r)][1])
-                   for (k, r), (lo, hi) in new_bounds.items()]
-        nbdf = spark.createDataFrame(nb_rows, ", ".join(
-            [f"`{k}` {t}" for k, t in key_types] +
-            ["_r bigint", "_nl double", "_nh double", "_lo double", "_hi double"]))
-        cnt = base.join(F.broadcast(nbdf), keys) \
-            .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))) \
-            .groupBy(*tk).agg(
-                F.sum(F.when(F.col("_v") < F.col("_nl"), 1).otherwise(0)).alias("_lt"),
-                F.sum(F.when((F.col("_v") >= F.col("_nl")) & (F.col("_v") <= F.col("_nh")), 1)
-                      .otherwise(0)).alias("_in")).collect()
-        for row in cnt:
-            k = tuple(row[c] for c in keys)
-            r = row["_r"]
-            st = state[(k, r)]
-            below = st[2] + row["_lt"]
-            if below <= r < below + row["_in"]:
-                lo, hi = new_bounds[(k, r)]
-                state[(k, r)] = [lo, hi, below, row["_in"], None]
-            # else: the sketch missed (rare); keep the wider range and retry next round
-
-    # final exact pick: one partitioned row_number per distinct candidate range
-    unresolved = [(k, r) for (k, r), st in state.items() if st[4] is None]
-    picked = {}
-    if unresolved:
-        ranges = {}
-        for (k, r) in unresolved:
-            st = state[(k, r)]
-            ranges.setdefault((k, st[0], st[1], st[2]), []).append(r)
-        rows = []
-        for rid, ((k, lo, hi, below), rs) in enumerate(ranges.items()):
-            for r in rs:
-                rows.append((*k, rid, lo, hi, below, r))
-        rdf = spark.createDataFrame(rows, ", ".join(
-            [f"`{k}` {t}" for k, t in key_types] +
-            ["_rid bigint", "_lo double", "_hi double", "_below bigint", "_r bigint"]))
-        rng = rdf.select(*keys, "_rid", "_lo", "_hi", "_below").distinct()
-        cand = base.join(F.broadcast(rng), keys) \
-            .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        w = Window.partitionBy("_rid").orderBy("_v")
-        ranked = cand.select("_rid", "_v", (F.row_number().over(w) - 1 + F.col("_below")).alias("_r"))
-        got = ranked.join(F.broadcast(rdf.select("_rid", "_r", *keys)), ["_rid", "_r"]).collect()
-        for row in got:
-            picked[(tuple(row[c] for c in keys), row["_r"])] = row["_v"]
-    for (k, r), st in state.items():
-        if st[4] is not None:
-            picked[(k, r)] = st[4]
-
-    out = []
-    for key, p, lo, hi, frac in plan:
-        a, b = picked[(key, lo)], picked[(key, hi)]
-        out.append((*key, float(p), a + (b - a) * frac if frac else a))
-    return out
+            low, frac = math.floor(h), h - math.floor(h)
+            a, b = found[key, low], found[key, min(low + 1, n - 1)]
+            out.append((*key, float(p), a + (b - a) * frac if frac else a))
+    return spark.createDataFrame(out, out_schema)
+
+
+def _pick(spark, base: DataFrame, kinds, ranges, wanted, select_rows: int) -> dict:
+    """{(key, rank): value} of the wanted ranks that lie in their ranges."""
+    keys = [k for k, _ in kinds]
+    table = spark.createDataFrame(ranges, ", ".join(
+        [f"`_k{i}` {t}" for i, (_, t) in enumerate(kinds)] + ["_rid int", "_lo double", "_hi double"]))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # at most MAX_KEYS x probabilities rows
+    inside = base.join(F.broadcast(table), same & (F.col("_v") <= F.col("_hi")))
+    values = inside.groupBy("_rid", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+    stats = {r["_rid"]: r for r in values.groupBy("_rid").agg(
+        F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("inside"),
+        F.count("_v").alias("distinct")).collect()}
+    # one search for each wanted rank that its range really holds
+    search = [(i, rid, key, r, stats[rid]["below"]) for i, (rid, key, r) in enumerate(wanted)
+              if rid in stats and stats[rid]["below"] <= r < stats[rid]["below"] + stats[rid]["inside"]]
+    distinct = {i: stats[rid]["distinct"] for i, rid, *_ in search}
+    if not search:
+        return {}
+    ids = spark.createDataFrame([(i, rid) for i, rid, *_ in search], "_i int, _rid int")
+    rows = values.where(F.col("_v").isNotNull()).join(F.broadcast(ids), "_rid").select("_i", "_v", "_c")
+    below = {i: b for i, _, _, _, b in search}
+    rank = {i: r for i, _, _, r, _ in search}
+    while large := [i for i in rank if distinct[i] > select_rows]:
+        big = rows.where(F.col("_i").isin(large))
+        bounds = big.groupBy("_i").agg(
+            F.percentile_approx("_v", [j / PARTS for j in range(1, PARTS)], ACCURACY).alias("_b"))
+        cut = big.join(F.broadcast(spark.createDataFrame(bounds.collect(), bounds.schema)), "_i") \
+            .withColumn("_part", bucket_of(F.col("_v"), F.col("_b"), PARTS - 1)).drop("_b").checkpoint()
+        counts = cut.groupBy("_i", "_part").agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("d")) \
+            .orderBy("_i", "_part").collect()
+        chosen = {}
+        for r in counts:
+            i = r["_i"]
+            if i not in chosen:
+                if rank[i] < below[i] + r["c"]:
+                    chosen[i], distinct[i] = r["_part"], r["d"]
+                else:
+                    below[i] += r["c"]
+        keep = spark.createDataFrame(list(chosen.items()), "_i int, _part int")
+        rows = rows.where(~F.col("_i").isin(large)).unionByName(
+            cut.join(F.broadcast(keep), ["_i", "_part"]).drop("_part"))
+    upto = Window.partitionBy("_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    goal = spark.createDataFrame([(i, rank[i] - below[i]) for i in rank], "_i int, _r long")
+    hit = rows.withColumn("_upto", F.sum("_c").over(upto)).join(F.broadcast(goal), "_i") \
+        .where((F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_c")))
+    names = {i: (key, r) for i, _, key, r, _ in search}
+    return {names[row["_i"]]: row["_v"] for row in hit.select("_i", "_v").collect()}

@@ -27,36 +27,37 @@ def _long(df: DataFrame, cols: list[str], extra: list[str] | None = None,
 
 
 # ---------------------------------------------------------------- correlation
+def _pair_corrs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, r) of the given pairs from pairwise complete rows, in one aggregate. A
+    constant column gives NULL instead of raising (S2)."""
+    aggs, rows = [], []
+    for k, (a, b) in enumerate(pairs):
+        x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        aggs += [F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(F.when(both, x)).alias(f"a{k}"),
+                 F.stddev_pop(F.when(both, y)).alias(f"b{k}")]
+        r = F.try_divide(F.col(f"c{k}"), F.col(f"a{k}") * F.col(f"b{k}"))
+        rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                             F.when(F.abs(r) > 1, F.signum(r)).otherwise(r).alias("r")))
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+
+
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r for every ordered pair (long form, diagonal included), pairwise
-    complete rows. A constant column gives NULL instead of raising (S2)."""
-    aggs = []
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    for i, j in pairs:
-        a, b = F.col(f"`{cols[i]}`").cast("double"), F.col(f"`{cols[j]}`").cast("double")
-        both = a.isNotNull() & b.isNotNull()
-        aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}"),
-                 F.stddev_pop(F.when(both, a)).alias(f"sa{i}_{j}"),
-                 F.stddev_pop(F.when(both, b)).alias(f"sb{i}_{j}")]
-    for i, c in enumerate(cols):
-        aggs.append(F.stddev_pop(F.col(f"`{c}`").cast("double")).alias(f"s{i}"))
-    wide = df.agg(*aggs)
-    rows = []
-    for i, j in pairs:
-        r = F.try_divide(F.col(f"c{i}_{j}"), F.col(f"sa{i}_{j}") * F.col(f"sb{i}_{j}"))
-        r = F.when(F.abs(r) > 1, F.signum(r)).otherwise(r)
-        rows += [F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r")),
-                 F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), r.alias("r"))]
-    for i, c in enumerate(cols):
-        rows.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                             F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("r")))
-    return wide.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    """Pearson r for every ordered pair (long form, diagonal included), pairwise complete
+    rows. A constant column gives NULL instead of raising (S2)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    half = _pair_corrs(df, pairs)
+    one = F.when(F.col("r").isNotNull(), F.lit(1.0))
+    half = half.withColumn("r", F.when(F.col("col_a") == F.col("col_b"), one).otherwise(F.col("r")))
+    both = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "r"))).otherwise(
+        F.array(F.struct("col_a", "col_b", "r"),
+                F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), F.col("r"))))
+    return half.select(F.explode(both).alias("p")).select("p.*")
 
 
 def corr_with_label(df: DataFrame, cols: list[str], label: str = "loan_status") -> DataFrame:
-    """r of each column with the label, strongest positive first."""
-    m = corr_matrix(df, cols + [label])
-    return m.where((F.col("col_b") == label) & (F.col("col_a") != label)) \
+    """r of each column with the label, strongest positive first; only these pairs are computed."""
+    return _pair_corrs(df, [(c, label) for c in cols if c != label]) \
         .select(F.col("col_a").alias("feature"), "r").orderBy(F.desc_nulls_last("r"))
 
 
@@ -134,7 +135,7 @@ def auto_bins(df: DataFrame, cols: list[str]) -> DataFrame:
     mm = long.groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"),
                                     F.count("value").alias("n")).collect()
     q = {(r["feature"], r["p"]): r["q"] for r in exact_quantiles(
-        long, "value", [0.25, 0.75], ["feature"], counts={(r["feature"],): r["n"] for r in mm}).collect()}
+        long, "value", [0.25, 0.75], ["feature"]).collect()}
     rows = []
     for r in mm:
         n, mn, mx = r["n"], r["mn"], r["mx"]
@@ -156,11 +157,14 @@ def auto_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
     return _histogram_from_params(_long(df, cols), auto_bins(df, cols))
 
 
+REACH = 39.0  # exp(-REACH^2 / 2) is below the smallest double
+
+
 def kde(df: DataFrame, cols: list[str], gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian density on a grid: Scott bandwidth n^(-1/5) * sample std, grid from
-    min - cut*bw to max + cut*bw. Each distinct value adds its count-weighted kernel to
-    every grid point; the partial aggregate collapses to cols x gridsize sums before the
-    shuffle, so no row-to-grid join is needed."""
+    min - cut*bw to max + cut*bw. Each distinct value adds its count-weighted kernel to the
+    grid points within ``REACH`` bandwidths (beyond, the kernel is exactly 0.0); the partial
+    aggregate collapses to cols x gridsize sums before the shuffle."""
     long = _long(df, cols).where(F.col("value").isNotNull())
     st = long.groupBy("feature").agg(F.count("value").cast("double").alias("n"),
                                     F.stddev_samp("value").alias("sd"),
@@ -172,9 +176,16 @@ def kde(df: DataFrame, cols: list[str], gridsize: int = 200, cut: float = 3.0) -
     # kernels are added once per distinct value, weighted by its count (exact; a column
     # with few distinct values costs almost nothing)
     distinct = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
-    g = F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")
+    first = F.greatest(F.lit(0), F.ceil((F.col("value") - REACH * F.col("bw") - F.col("g0")) / F.col("step")))
+    last = F.least(F.lit(gridsize - 1),
+                   F.floor((F.col("value") + REACH * F.col("bw") - F.col("g0")) / F.col("step")))
+    # cols rows; every grid point starts from one row of weight 0, so none is missing
     pts = distinct.join(F.broadcast(params), "feature") \
-        .select("feature", "value", "w", "n", "bw", "g0", "step", g)
+        .select("feature", "value", "w", "n", "bw", "g0", "step",
+                F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("g"))
+    pts = pts.unionByName(params.select(
+        "feature", F.col("g0").alias("value"), F.lit(0).cast("bigint").alias("w"), "n", "bw", "g0", "step",
+        F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("g")))
     x = F.col("g0") + F.col("g") * F.col("step")
     z = (x - F.col("value")) / F.col("bw")
     sums = pts.groupBy("feature", "g").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("_s"),
