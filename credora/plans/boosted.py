@@ -137,7 +137,8 @@ def cross_val_auc(df: DataFrame, feature_cols: list[str], make_estimator, label:
     from credora.operators.sample import stratified_kfold
 
     if fold_col not in df.columns:
-        df = stratified_kfold(df, label, k, seed, fold_col=fold_col)
+        # written once: every fold's fit and scoring reads it instead of assigning folds again
+        df = stratified_kfold(df, label, k, seed, fold_col=fold_col).checkpoint()
 
     def one(f: int) -> float:
         tr = df.where(F.col(fold_col) != f)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from credora.operators import encode, features, knn, metrics, sample, scale
 from credora.operators.pca import PCAModel, fit_pca
-from credora.plans import boosted
+from credora.plans import boosted, stack
 from credora.sources.persist import read_params, write_params
 
 # The reference's categorical roles.
@@ -99,29 +99,52 @@ class CreditSystem:
             self.pca_k = self.pca.n_for_variance(self.pca_variance)
         tr, cols = self._model_space(train, keep)
         va, _ = self._model_space(valid, keep)
-        if self.use_smote:
-            tr = knn.smote(tr.select(*keep, *cols), cols, self.label, 1, self.smote_ratio, 5,
-                           self.seed, self.id_col).drop("synthetic")
-        weight = None
-        if self.balanced_weights:
-            tr = sample.with_class_weight(tr, self.label, "_w")
-            weight = "_w"
-        tr = tr.checkpoint()
-        self.model = boosted.gbt_classifier(tr, cols, self.label, self.preset, self.seed, weight,
-                                            **self.model_params)
-        scored = boosted.predict(self.model, va, keep=keep)
+        real = tr.select(*keep, *cols).checkpoint()
+
+        def balanced(part: DataFrame) -> DataFrame:
+            """A training part with synthetic rows and class weights, as the settings ask."""
+            if self.use_smote:
+                part = knn.smote(part, cols, self.label, 1, self.smote_ratio, 5, self.seed,
+                                 self.id_col).drop("synthetic")
+            return sample.with_class_weight(part, self.label, "_w") if self.balanced_weights else part
+
+        weight = "_w" if self.balanced_weights else None
+        tr = balanced(real).checkpoint()
+        va = va.checkpoint()
+        self._fit_model(tr, va, cols, weight)
+        scored = self._score(va, keep)
         report = {
             "classification_report": metrics.classification_report(scored, self.label),
             "roc_auc": metrics.roc_auc(scored, self.label, "score"),
-            "feature_importance": boosted.feature_importance(self.model, cols, 10),
+            **self._more_reports(cols),
         }
         if cv_folds:
-            make = lambda: boosted.gbt_estimator(self.label, self.preset, self.seed,
+            make = lambda: boosted.gbt_estimator(self.label, self.preset, self.seed, weight,
                                                  **self.model_params)
-            report["cv"] = boosted.cross_val_auc(tr, cols, make, self.label, k=cv_folds,
-                                                 seed=self.seed)
+            # folds are cut from real rows; synthetic ones are made inside each training part
+            report["cv"] = boosted.cross_val_auc(real, cols, make, self.label, k=cv_folds,
+                                                 seed=self.seed, resample=lambda p: balanced(
+                                                     p.select(*keep, *cols)).checkpoint())
         return report
 
+    # the model of this system; subclasses bring another one
+    def _fit_model(self, train: DataFrame, valid: DataFrame, cols: list[str], weight: str | None) -> None:
+        self.model = boosted.gbt_classifier(train, cols, self.label, self.preset, self.seed, weight,
+                                            **self.model_params)
+
+    def _score(self, df: DataFrame, keep: list[str], threshold: float | None = None) -> DataFrame:
+        return boosted.predict(self.model, df, keep=keep, threshold=threshold)
+
+    def _more_reports(self, cols: list[str]) -> dict:
+        return {"feature_importance": boosted.feature_importance(self.model, cols, 10)}
+
+    def _save_model(self, path: str) -> dict:
+        self.model.write().overwrite().save(f"{path}/model")
+        return {}
+
+    def _load_model(self, path: str, saved: dict) -> None:
+        self.model = PipelineModel.load(f"{path}/model")
+
     def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
         """(id, prediction, score) for every row of ``df``."""
         if self.model is None:
@@ -129,13 +152,13 @@ class CreditSystem:
         prepared = self.prepare(df, fit=False)
         x, _ = self._model_space(prepared, [self.id_col])
         t = self.threshold if threshold is None else threshold
-        out = boosted.predict(self.model, x, keep=[self.id_col], threshold=t)
+        out = self._score(x, [self.id_col], t)
         return out.select(self.id_col, F.col("prediction").cast("bigint").alias("prediction"), "score")
 
     # ------------------------------------------------------------------ persistence
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
-        self.model.write().overwrite().save(f"{path}/model")
+        saved = self._save_model(path)
         params = {k: getattr(self, k) for k in (
             "variant", "label", "id_col", "use_smote", "smote_ratio", "use_pca", "pca_variance",
             "preset", "model_params", "balanced_weights", "frame_medians", "test_frac", "seed",
@@ -145,17 +168,50 @@ class CreditSystem:
             params["pca"] = {"cols": self.pca.cols, "mean": self.pca.mean, "scale": self.pca.scale,
                              "components": self.pca.components.tolist(),
                              "ratio": self.pca.explained_variance_ratio}
-        write_params(spark, params, f"{path}/params")
+        write_params(spark, {**params, "saved_model": saved}, f"{path}/params")
 
     @classmethod
     def load(cls, path: str) -> "CreditSystem":
         spark = SparkSession.getActiveSession()
         p = read_params(spark, f"{path}/params")
-        sc, pc = p.pop("scaler"), p.pop("pca", None)
+        sc, pc, saved = p.pop("scaler"), p.pop("pca", None), p.pop("saved_model", {})
         sys_ = cls(**p)
         sys_.scaler = scale.Scaler(sc["center"], sc["scale"])
         if pc:
             sys_.pca = PCAModel(pc["cols"], pc["mean"], pc["scale"], np.array(pc["components"]),
                                 pc["ratio"])
-        sys_.model = PipelineModel.load(f"{path}/model")
+        sys_._load_model(path, saved)
         return sys_
+
+
+@dataclass
+class StackSystem(CreditSystem):
+    """The ensemble end to end: the same preparation and resampling, a stack of three base models
+    under a meta model, and the threshold with the best F1 on the validation part. ``model_params``:
+    ``maxIter`` for all learners (default: their presets), ``folds`` for the out-of-fold scores."""
+
+    def _learners(self) -> tuple[dict, object, int]:
+        most = self.model_params.get("maxIter")
+        meta = {"maxIter": most} if most else {}
+        return (stack.default_learners(self.label, self.seed, most),
+                lambda: boosted.gbt_estimator(self.label, "meta", self.seed, **meta),
+                self.model_params.get("folds", 5))
+
+    def _fit_model(self, train: DataFrame, valid: DataFrame, cols: list[str], weight: str | None) -> None:
+        learners, meta, folds = self._learners()
+        self.model = stack.stack_fit(train, cols, self.label, learners, meta, self.id_col, folds,
+                                     self.seed, valid)
+        self.threshold = self.model.threshold
+
+    def _score(self, df: DataFrame, keep: list[str], threshold: float | None = None) -> DataFrame:
+        rest = [c for c in keep if c != self.id_col]
+        return self.model.predict(df, self.id_col, rest, self.threshold if threshold is None else threshold)
+
+    def _more_reports(self, cols: list[str]) -> dict:
+        return {}
+
+    def _save_model(self, path: str) -> dict:
+        return self.model.save(path)
+
+    def _load_model(self, path: str, saved: dict) -> None:
+        self.model = stack.StackModel.load(path, saved)
