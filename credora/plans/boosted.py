@@ -71,7 +71,7 @@ def gbt_subsampled(train: DataFrame, feature_cols: list[str], label: str = "loan
 
 def early_stop_fit(train: DataFrame, feature_cols: list[str], label: str = "loan_status",
                    holdout_frac: float = 0.1, preset: str = "b", seed: int = 42,
-                   tol: float = 0.01, **overrides) -> PipelineModel:
+                   tol: float = 1e-3, **overrides) -> PipelineModel:
     """Validation-chosen number of trees on a held-out slice of ``train`` (kept apart
     from any evaluation set, Q18)."""
     from credora.operators.sample import stratified_split

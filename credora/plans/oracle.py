@@ -92,6 +92,9 @@ PRED = "SELECT *, CAST(score_a > 0.5 AS INTEGER) AS prediction FROM scored"
 
 # ------------------------------------------------------------------ sources / sinks
 oracle("read_table", "SELECT * FROM customer", ["c_acctbal"])
+oracle("read_csv", "SELECT c_custkey, CASE WHEN c_custkey % 7 > 1 THEN c_acctbal END AS c_acctbal, "
+       "CASE WHEN c_custkey % 11 > 0 THEN c_mktsegment END AS c_mktsegment, "
+       "CASE WHEN c_custkey % 5 > 0 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey FROM customer", ["c_acctbal"])
 oracle("write_processed", EDA_SQL, EDA_DOUBLES)
 oracle("write_predictions", "SELECT id, CAST(score_a > 0.5 AS BIGINT) AS loan_status FROM scored")
 
@@ -314,6 +317,25 @@ e AS (SELECT ct.feature, n0 AS o, (n0 + n1) * c0 / nt AS e, r FROM ct JOIN colt
 SELECT feature, sum(CASE WHEN r - 1 = 1 THEN pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e
                          ELSE pow(o - e, 2) / e END) AS chi2, CAST(max(r) - 1 AS BIGINT) AS dof
 FROM e GROUP BY 1""", ["chi2"])
+# 5% critical values of chi-square for 1 and 4 degrees of freedom and of |z|.
+oracle("significance_flag", f""", ct AS ({_CT}),
+colt AS (SELECT feature, sum(n0) AS c0, sum(n1) AS c1, sum(n0 + n1) AS nt, count(*) AS r FROM ct GROUP BY 1),
+e AS (SELECT ct.feature, n0 AS o, (n0 + n1) * c0 / nt AS e, r FROM ct JOIN colt USING (feature)
+      UNION ALL SELECT ct.feature, n1, (n0 + n1) * c1 / nt, r FROM ct JOIN colt USING (feature)),
+chi AS (SELECT feature, sum(CASE WHEN r = 2 THEN pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e
+                                 ELSE pow(o - e, 2) / e END) AS chi2, max(r) - 1 AS dof FROM e GROUP BY 1),
+lg AS ({_LONG}),
+rk AS (SELECT feature, loan_status, count(*) OVER (PARTITION BY feature, value) AS t,
+       rank() OVER (PARTITION BY feature ORDER BY value)
+       + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS mr FROM lg WHERE value IS NOT NULL),
+u AS (SELECT feature, CAST(count(*) AS DOUBLE) AS n, sum(1.0 - loan_status)::DOUBLE AS n0, sum(loan_status)::DOUBLE AS n1,
+      sum((1 - loan_status) * mr) AS r0, sum(t::DOUBLE * t - 1) AS ties FROM rk GROUP BY 1),
+z AS (SELECT feature, (greatest(r0 - n0 * (n0 + 1) / 2, n0 * n1 - r0 + n0 * (n0 + 1) / 2) - n0 * n1 / 2 - 0.5)
+      / sqrt(n0 * n1 / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)
+#SELECT
+SELECT feature, 'mann_whitney' AS test, CAST(z > 1.959963984540054 AS INTEGER) AS significant FROM z
+UNION ALL SELECT feature, 'chi_square', CAST(chi2 > CASE dof WHEN 1 THEN 3.841458820694124
+  WHEN 4 THEN 9.487729036781154 END AS INTEGER) FROM chi""")
 _HC = [f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM loans"
        for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:]]
 oracle("high_corr_pairs", f"SELECT * FROM ({union(_HC)}) WHERE abs(r) > 0.5", ["r"])
@@ -337,6 +359,9 @@ _RANK = ("row_number() OVER (PARTITION BY loan_status ORDER BY md5('42-' || CAST
 oracle("stratified_split", f"SELECT id, loan_status, CASE WHEN {_RANK} < round(0.2 * count(*) OVER "
        "(PARTITION BY loan_status)) THEN 'test' ELSE 'train' END AS split FROM loans")
 oracle("stratified_kfold", f"SELECT id, loan_status, CAST(({_RANK}) % 5 AS INTEGER) AS fold FROM loans")
+_NULLS = "SELECT id, CASE WHEN id % 10 > 0 THEN loan_status END AS loan_status FROM loans"
+oracle("stratified_split_nulls", f"SELECT id, loan_status, CASE WHEN {_RANK} < round(0.2 * count(*) OVER "
+       f"(PARTITION BY loan_status)) THEN 'test' ELSE 'train' END AS split FROM ({_NULLS})")
 oracle("shuffle_batches", "SELECT id, 0 AS epoch, CAST(b AS BIGINT) AS batch FROM (SELECT id, "
        "floor((row_number() OVER (ORDER BY md5('42-0-' || CAST(id AS VARCHAR)), id) - 1) / 32) AS b, "
        "floor(count(*) OVER () / 32) AS nb FROM loans) WHERE b < nb")
@@ -384,6 +409,10 @@ _CUM = (f"SELECT s, n0, n1, coalesce(sum(n0) OVER (ORDER BY s ROWS BETWEEN UNBOU
 oracle("roc_auc", f"SELECT sum(n1 * (b0 + n0 / 2.0)) / (max(t0) * max(t1)) AS auc FROM ({_CUM})", ["auc"])
 oracle("roc_curve", f"SELECT s AS threshold, (t0 - b0) / t0 AS fpr, (t1 - b1) / t1 AS tpr FROM ({_CUM}) "
        "UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0", ["threshold", "fpr", "tpr"])
+oracle("roc_curve_reduced", f"SELECT s AS threshold, (t0 - b0) / t0 AS fpr, (t1 - b1) / t1 AS tpr FROM ("
+       f"SELECT *, lag(n0) OVER (ORDER BY s) AS p0, lag(n1) OVER (ORDER BY s) AS p1 FROM ({_CUM})) "
+       "WHERE p0 IS NULL OR p0 <> n0 OR p1 <> n1 UNION ALL SELECT 'inf'::DOUBLE, 0.0, 0.0",
+       ["threshold", "fpr", "tpr"])
 oracle("pr_curve", f"SELECT s AS threshold, CASE WHEN (t1 - b1) + (t0 - b0) = 0 THEN 0 ELSE (t1 - b1) / ((t1 - b1) + (t0 - b0)) END "
        f"AS precision, (t1 - b1) / t1 AS recall FROM ({_CUM}) UNION ALL SELECT NULL, 1.0, 0.0",
        ["threshold", "precision", "recall"])
@@ -410,6 +439,16 @@ cu AS (SELECT model, n0, n1, coalesce(sum(n0) OVER (PARTITION BY model ORDER BY
        AND 1 PRECEDING), 0) AS b0, sum(n0) OVER (PARTITION BY model) AS t0, sum(n1) OVER (PARTITION BY model) AS t1 FROM sc)
 #SELECT
 SELECT model, sum(n1 * (b0 + n0 / 2.0)) / (max(t0) * max(t1)) AS auc FROM cu GROUP BY 1""", ["auc"])
+oracle("model_curves", f""", lg AS ({_MC}),
+sc AS (SELECT model, score AS s, CAST(sum(CASE WHEN loan_status = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n0,
+       CAST(sum(CASE WHEN loan_status = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS n1 FROM lg GROUP BY 1, 2),
+cu AS (SELECT model, s, n0, n1, sum(n0) OVER up AS f0, sum(n1) OVER up AS f1, sum(n0) OVER (PARTITION BY model) AS t0,
+       sum(n1) OVER (PARTITION BY model) AS t1, lag(n0) OVER (PARTITION BY model ORDER BY s) AS p0,
+       lag(n1) OVER (PARTITION BY model ORDER BY s) AS p1 FROM sc
+       WINDOW up AS (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+#SELECT
+SELECT model, s AS threshold, f0 / t0 AS fpr, f1 / t1 AS tpr FROM cu WHERE p0 IS NULL OR p0 <> n0 OR p1 <> n1
+UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE, 0.0, 0.0 FROM cu""", ["threshold", "fpr", "tpr"])
 oracle("prediction_shares", f"SELECT prediction AS value, count(*) AS count, count(*) / sum(count(*)) OVER () AS share "
        f"FROM ({PRED}) GROUP BY 1", ["share"])
 
@@ -418,6 +457,12 @@ oracle("pca_variance", f""", c AS (SELECT abs(corr(person_age, cb_person_cred_hi
 #SELECT
 SELECT 1 AS component, (1 + r) / 2 AS variance_ratio, (1 + r) / 2 AS cumulative FROM c
 UNION ALL SELECT 2, (1 - r) / 2, 1.0 FROM c""", ["variance_ratio", "cumulative"])
+oracle("pca_project_pair", """, c AS (SELECT avg(person_age) AS ma, stddev_pop(person_age) AS sa,
+  avg(cb_person_cred_hist_length) AS mb, stddev_pop(cb_person_cred_hist_length) AS sb,
+  sign(corr(person_age, cb_person_cred_hist_length)) AS r FROM loans),
+x AS (SELECT id, (person_age - ma) / sa AS a, (cb_person_cred_hist_length - mb) / sb AS b, r FROM loans, c)
+#SELECT
+SELECT id, (a + r * b) / sqrt(2) AS PC1, (a - r * b) / sqrt(2) AS PC2 FROM x""", ["PC1", "PC2"])
 _MF = "SELECT id, loan_percent_income AS f1, loan_int_rate / 10 AS f2, loan_status FROM loans"
 _KNN = f""", mf AS ({_MF}), m AS (SELECT * FROM mf WHERE loan_status = 1),
 pr AS (SELECT a.id, b.id AS nn_id, (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) AS d2
@@ -425,6 +470,13 @@ pr AS (SELECT a.id, b.id AS nn_id, (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2)
 knn AS (SELECT id, CAST(nn_rank AS BIGINT) AS nn_rank, nn_id, sqrt(d2) AS dist FROM (
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nn_id) AS nn_rank FROM pr) WHERE nn_rank <= 5)"""
 oracle("knn_minority", f"{_KNN}\n#SELECT\nSELECT * FROM knn", ["dist"])
+oracle("knn_minority_wide", """, m AS (SELECT id, loan_percent_income AS f1, loan_int_rate / 10 AS f2,
+  cb_person_cred_hist_length / 10 AS f3, loan_amnt / 10000 AS f4 FROM loans WHERE loan_status = 1),
+pr AS (SELECT a.id, b.id AS nn_id, (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2)
+       + (a.f3 - b.f3) * (a.f3 - b.f3) + (a.f4 - b.f4) * (a.f4 - b.f4) AS d2 FROM m a JOIN m b ON a.id <> b.id)
+#SELECT
+SELECT id, CAST(nn_rank AS BIGINT) AS nn_rank, nn_id, sqrt(d2) AS dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, nn_id) AS nn_rank FROM pr) WHERE nn_rank <= 5""", ["dist"])
 oracle("smote", f"""{_KNN},
 rk AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || CAST(id AS VARCHAR)), id) - 1 AS rank0 FROM m),
 par AS (SELECT CAST(sum(CASE WHEN loan_status = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_min,
@@ -448,3 +500,4 @@ h AS (SELECT id, f1 * 1.5 + f2 * 0.25 + (-0.2) AS z1, f1 * (-0.5) + f2 * 0.75 +
 a AS (SELECT id, CASE WHEN z1 > 0 THEN z1 ELSE 0.01 * z1 END AS a1, CASE WHEN z2 > 0 THEN z2 ELSE 0.01 * z2 END AS a2 FROM h)
 #SELECT
 SELECT id, 1 / (1 + exp(-(a1 * 2.0 + a2 * (-1.0) + (-0.3)))) AS score FROM a""", ["score"])
+SQL["mlp_save_load"] = SQL["mlp_score"]
