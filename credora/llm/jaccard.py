@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
-Every text is the set of its word n-grams. A signature of one-permutation minima (empty bins take
-the next bin's, rotated) fills ``trees`` prefix tries of ``max_depth`` levels. Matched prefixes are
+Every text is the set of its word n-grams. A signature of one-permutation minima (short texts are
+hashed again into bins that stay empty) fills ``trees`` prefix tries of ``max_depth`` levels. Matched prefixes are
 shortened from the deepest level until a pair at the threshold meets in some tree with probability
 ``target_recall``; what matched deeper also matches there, so the final level holds all candidates.
 
@@ -34,6 +34,7 @@ from .words import Words, mix, run_hash, slices, words_of
 
 NO_ID = 2 ** 63 - 1
 EMPTY = np.uint64(2 ** 64 - 1)
+ROUNDS = 16
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 2_000_000
 WORD_SEED, GRAM_SEED, TEXT_SEED, WORD_SEED2, TEXT_SEED2 = 11, 12, 13, 14, 15
@@ -58,10 +59,18 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(grams: np.ndarray, docs: np.ndarray, n_docs: int, bins: int) -> np.ndarray:
-    """One-permutation minima of each document, empty bins filled by rotation."""
+    """One-permutation minima of each document. Texts with empty bins are hashed again, round by
+    round, into the bins still empty; what ``ROUNDS`` leave empty takes the next bin's, rotated."""
     sig = np.full(n_docs * bins, EMPTY)
-    place = ((grams >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-    np.minimum.at(sig, docs * bins + place.astype(np.int64), mix(grams))
+    for turn in range(ROUNDS):
+        h = mix(grams ^ np.uint64(turn * 0x9E3779B97F4A7C15 % 2 ** 64))
+        place = docs * bins + (((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+        open_ = sig[place] == EMPTY
+        np.minimum.at(sig, place[open_], mix(h[open_]))
+        again = (sig.reshape(n_docs, bins) == EMPTY).any(axis=1)[docs]
+        grams, docs = grams[again], docs[again]
+        if not len(grams):
+            break
     sig = sig.reshape(n_docs, bins)
     twice = np.concatenate([sig, sig], axis=1)
     far = 4 * bins
