@@ -61,9 +61,11 @@ def fit_pca(df: DataFrame, cols: list[str], standardize: bool = True) -> PCAMode
     vals, vecs = np.linalg.eigh(mat)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0, None), vecs[:, order].T
-    # deterministic sign: the largest-magnitude loading of each component is positive
+    # deterministic sign: the first of the largest-magnitude loadings is positive (magnitudes
+    # that differ only by rounding count as equal)
     for j in range(len(vecs)):
-        if vecs[j][np.argmax(np.abs(vecs[j]))] < 0:
+        size = np.abs(vecs[j])
+        if vecs[j][np.argmax(size >= size.max() - 1e-9)] < 0:
             vecs[j] = -vecs[j]
     total = vals.sum()
     ratio = [float(v / total) if total > 0 else 0.0 for v in vals]
