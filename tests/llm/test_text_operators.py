@@ -142,7 +142,9 @@ def test_fingerprint_edits(spark, docs, corpus):
     links = plain.near_duplicates(pairs(corpus))
     alone = [r for r in out if r["n_chars"] > 600 and links[r["doc_id"]][1] == 0]
     assert len(alone) > 5
-    assert all(r["near_edited"] > 0.25 and r["near_edited"] > r["near_next"] for r in alone)
+    # a third is replaced: about half of the joint signatures stay (few spots in invented words)
+    assert all(r["near_edited"] > r["near_next"] for r in alone)
+    assert 0.35 < sum(r["near_edited"] for r in alone) / len(alone) < 0.65
 
 
 def test_fingerprint_chains(spark):
