@@ -8,7 +8,11 @@ more is cut over the lowest-cost sequences that have room left.
 
 Rests meet in pools of about ``docs_per_pool`` documents, drawn by input row and not by any key, so
 a pool is bounded and even whatever the ids, sources or copies are. A pool opens as many sequences
-as its tokens need, so padding is under one sequence for each pool.
+as its tokens need, so padding is under one sequence for each pool. Full stretches travel apart from
+the rests, at most ``STRETCHES`` of a document in one group, so a long document does not fill a task.
+
+The result holds the ids of every piece, so it is the sequences themselves; ``ids_crc32`` is derived
+from that column. Pieces of one input row share its ``row``, which tells copies of a document apart.
 
 Text is cut where white space begins after other characters, and where ASCII punctuation follows an
 ASCII letter; the tokenizer's own splitting always breaks there, so equal pieces are tokenised once
@@ -21,20 +25,21 @@ are kept; an empty table gives an empty result; other input columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import narrow
 from .words import slices, utf8
 
 CACHE_ENTRIES = 600_000
+STRETCHES = 16  # full stretches of a document that travel in one group
+FULL = 1 << 62  # ids of sequences that are one full stretch lie above those of the pools
 
 
 class PieceTokenizer:
@@ -108,39 +113,38 @@ def tokenise(batch: pa.RecordBatch, path: str, column: str = "text", separator:
     return tokens, doc_ends + np.arange(len(doc_ends))
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
+ROWS = ("doc_id {kind}, start long, length long, doc_tokens long, ids binary, row long, "
+        "sequence_id long, stretch long")
 
-ROWS = ("doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, "
-        "row long")
 
-
-def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool
-         ) -> Iterator[pa.RecordBatch]:
-    """Full stretches (with their crc) and the rest of each document (with its ids)."""
-    row = TaskContext.get().partitionId() << 36
+def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+    """Full stretches (with their sequence and a group number from 1) and the rest of each document
+    (group 0)."""
+    row = sequence = TaskContext.get().partitionId() << 36
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, offsets = tokenise(part, path)
-            out: dict[str, list] = {k: [] for k in ("at", "start", "length", "crc", "all", "ids",
-                                                    "row")}
+            out: dict[str, list] = {k: [] for k in ("at", "start", "length", "all", "ids", "row",
+                                                    "sequence", "stretch")}
             for doc in range(part.num_rows):
                 own = tokens[offsets[doc]:offsets[doc + 1]]
                 row += 1
                 for start in range(0, len(own), capacity):
                     ids = own[start:start + capacity]
                     full = len(ids) == capacity
+                    sequence += full
                     for k, v in (("at", doc), ("start", start), ("length", len(ids)),
-                                 ("crc", crc(ids) if full else None), ("all", len(own)),
-                                 ("ids", None if full and not with_ids else _packed(ids)),
-                                 ("row", row)):
+                                 ("all", len(own)), ("ids", _packed(ids)), ("row", row),
+                                 ("sequence", FULL + sequence if full else None),
+                                 ("stretch", 1 + start // (capacity * STRETCHES) if full else 0)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(out["at"], pa.int64())),
-                 *[pa.array(out[k], pa.int64()) for k in ("start", "length", "crc", "all")],
-                 pa.array(out["ids"], pa.binary()), pa.array(out["row"], pa.int64())],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "row"])
+                 *[pa.array(out[k], pa.int64()) for k in ("start", "length", "all")],
+                 pa.array(out["ids"], pa.binary()),
+                 *[pa.array(out[k], pa.int64()) for k in ("row", "sequence", "stretch")]],
+                names=["doc_id", "start", "length", "doc_tokens", "ids", "row", "sequence_id",
+                       "stretch"])
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -153,6 +157,16 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if blob[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
 
+def _wide(ids: np.ndarray) -> bytes:
+    """Ids as 32-bit numbers after the byte that says so."""
+    return b"\x04" + ids.astype("<u4").tobytes()
+
+
+def digest(ids: Column) -> Column:
+    """crc32 of the little-endian 32-bit ids of a piece of the result."""
+    return F.crc32(F.substring(ids, 2, 2 ** 31 - 1))
+
+
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float
             ) -> list[list[tuple[int, int, int, int]]]:
     """For each length (descending), its pieces (sequence, offset, start, length)."""
@@ -184,52 +198,49 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
                    linear: float = 1.0, quadratic: float = 1 / 1024, docs_per_pool: int = 1024,
-                   with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+                   with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
                    ) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, ``with_ids``, the
-    piece's ids (see ``unpacked``), one row for each piece."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, the piece's ids (see
+    ``unpacked``) and row (number of the input row), one row for each piece. The ids are made and
+    carried always; without ``with_ids`` the finished column is left out of the result."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pools = max(1, math.ceil(docs.count() / docs_per_pool))
-    pieces = docs.mapInArrow(lambda it: _cut(it, tokenizer_path, capacity, with_ids),
-                             ROWS.format(kind=kind))
-
-    def pack(pool: pa.Table) -> pa.Table:
-        full = pool.column("ids_crc32").is_valid().to_numpy()
-        rows = pool.filter(pa.array(full)).sort_by([("row", "ascending"), ("start", "ascending")])
-        rests = pool.filter(pa.array(~full)).sort_by(
-            [("length", "descending"), ("row", "ascending")])
-        base = pool.column("pool")[0].as_py() << 32
+    pieces = docs.mapInArrow(lambda it: _cut(it, tokenizer_path, capacity), ROWS.format(kind=kind))
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "row"]
+
+    def whole(rows: pa.Table) -> pa.Table:
+        ids = [_wide(unpacked(x)) for x in rows.column("ids").to_pylist()]
+        return pa.table([*[rows.column(c) for c in names[:5]],
+                         pa.array(np.zeros(rows.num_rows, np.int64)), pa.array(ids, pa.binary()),
+                         rows.column("row")], names)
+
+    def pack(group: pa.Table) -> pa.Table:
+        if group.column("stretch")[0].as_py():
+            return whole(group)
+        rests = group.sort_by([("length", "descending"), ("row", "ascending")])
+        base = group.column("pool")[0].as_py() << 32
         lengths = rests.column("length").to_pylist()
-        at, start, length, sums, seq, offset, ids = [], [], [], [], [], [], []
+        at, start, length, seq, offset, ids = [], [], [], [], [], []
         for i, parts in enumerate(balance(lengths, capacity, linear, quadratic)):
             first = rests.column("start")[i].as_py()
             own = unpacked(rests.column("ids")[i].as_py())
             for into, place, begin, size in parts:
-                cut = own[begin:begin + size]
                 at.append(i)
                 start.append(first + begin)
                 length.append(size)
-                sums.append(crc(cut))
                 seq.append(base + into)
                 offset.append(place)
-                ids.append(_packed(cut) if with_ids else None)
-        used = math.ceil(sum(lengths) / capacity)
+                ids.append(_wide(own[begin:begin + size]))
         rest = rests.take(pa.array(at, pa.int64()))
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
-                 "ids"]
-        packed = pa.table([rest.column("doc_id"), pa.array(start, pa.int64()),
-                           pa.array(length, pa.int64()), pa.array(sums, pa.int64()),
-                           rest.column("doc_tokens"), pa.array(seq, pa.int64()),
-                           pa.array(offset, pa.int64()), pa.array(ids, pa.binary())], names)
-        whole = pa.table([rows.column("doc_id"), rows.column("start"), rows.column("length"),
-                          rows.column("ids_crc32"), rows.column("doc_tokens"),
-                          pa.array(base + used + np.arange(rows.num_rows), pa.int64()),
-                          pa.array(np.zeros(rows.num_rows, np.int64)), rows.column("ids")], names)
-        return pa.concat_tables([packed, whole])
+        return pa.table([rest.column("doc_id"), pa.array(start, pa.int64()),
+                         pa.array(length, pa.int64()), rest.column("doc_tokens"),
+                         pa.array(seq, pa.int64()), pa.array(offset, pa.int64()),
+                         pa.array(ids, pa.binary()), rest.column("row")], names)
 
     out = (pieces.withColumn("pool", F.pmod(F.xxhash64("row"), F.lit(pools)))
-           .groupBy("pool").applyInArrow(
-               pack, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-                     "sequence_id long, offset long, ids binary"))
-    return out if with_ids else out.drop("ids")
+           .groupBy("pool", "stretch").applyInArrow(
+               pack, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, "
+                     "offset long, ids binary, row long"))
+    return out.select("doc_id", "start", "length", digest(F.col("ids")).alias("ids_crc32"),
+                      "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []), "row")

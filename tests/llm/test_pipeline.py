@@ -4,6 +4,7 @@ import collections
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from credora.llm import packing
 from credora.llm.queries import tokenizer_path
 
 from ..conftest import SF001
@@ -77,6 +78,22 @@ def check(pieces, rows):
     assert packed == tokens and max(filled.values()) <= 1024
 
 
+def test_packed_sequences_hold_every_copy(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path())
+    long = " ".join(f"word{k} of many" for k in range(9000))
+    rows = [(1, long), (1, long), (1, long[:700]), (2, "a b c"), (2, "a b"), (None, "x"), (None, "x")]
+    docs = make(spark, [(d, t, "en", "s1") for d, t in rows]).select(COLUMNS)
+    parts = collections.defaultdict(list)
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        parts[r["row"], r["doc_id"]].append((r["start"], packing.unpacked(bytes(r["ids"])).tolist()))
+    got = collections.Counter((d, tuple(x for _, ids in sorted(p) for x in ids))
+                              for (_, d), p in parts.items())
+    assert got == collections.Counter(
+        (d, (*tk.encode(t, add_special_tokens=False).ids, 0)) for d, t in rows)
+
+
 def test_run_goes_through_all_stages(spark):
     out = corpus_pipeline.run(spark, SF001)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
