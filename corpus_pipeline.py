@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens, one row for each piece, with its ids; ``row`` tells the
     copies of a document apart."""
     ensure_checkpoint_dir(spark)
-    return packing.pack_documents(docs, tokenizer_path(), capacity=1024)
+    return packing.pack_documents(docs, tokenizer_path(), capacity=1024, special_as_text=False)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup),

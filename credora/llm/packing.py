@@ -16,7 +16,8 @@ from that column. Pieces of one input row share its ``row``, which tells copies
 
 Text is cut where white space begins after other characters, and where ASCII punctuation follows an
 ASCII letter; the tokenizer's own splitting always breaks there, so equal pieces are tokenised once
-and their ids repeated.
+and their ids repeated. The string of an added token (such as <|endoftext|>) in a text is never cut
+and gets that token's id, as the tokenizer gives it; with ``special_as_text`` it is ordinary text.
 
 Defined cases: a null or empty text is the separator alone; repeated rows are packed each; null ids
 are kept; an empty table gives an empty result; other input columns are ignored.
@@ -45,11 +46,13 @@ FULL = 1 << 62  # ids of sequences that are one full stretch lie above those of
 class PieceTokenizer:
     """Token ids of white-space-led pieces, remembered within a worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.whole = [] if special_as_text else [
+            t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def ids_of(self, pieces: list[bytes]) -> list[bytes]:
@@ -67,12 +70,13 @@ class PieceTokenizer:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> PieceTokenizer:
-    return PieceTokenizer(path)
+def _tokenizer(path: str, special_as_text: bool) -> PieceTokenizer:
+    return PieceTokenizer(path, special_as_text)
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte offsets at which a document, a run of white space, or punctuation after a letter begins."""
+def piece_starts(data: np.ndarray, offsets: np.ndarray, whole: list[bytes] = ()) -> np.ndarray:
+    """Byte offsets at which a document, a run of white space, or punctuation after a letter begins,
+    but none inside a string of ``whole``."""
     space = (data <= 0x20)
     # characters that may be white space beyond ASCII: all of C2 xx, and of E1..E3 xx xx
     wide = np.zeros(len(data), dtype=bool)
@@ -84,20 +88,27 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mark = (data > 0x20) & (data < 0x7F) & ~letter & ~((data >= 0x30) & (data <= 0x39))
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[1:len(data)] = (space[1:] & ~space[:-1] & ~wide[:-1]) | (mark[1:] & letter[:-1])
+    text = data.tobytes() if whole else b""
+    for token in whole:
+        at = text.find(token)
+        while at >= 0:
+            cut[at + 1:at + len(token)] = False
+            at = text.find(token, at + 1)
     cut[offsets] = True
     return np.flatnonzero(cut)
 
 
-def tokenise(batch: pa.RecordBatch, path: str, column: str = "text", separator: int = 0
-             ) -> tuple[np.ndarray, np.ndarray]:
+def tokenise(batch: pa.RecordBatch, path: str, column: str = "text", separator: int = 0,
+             special_as_text: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all documents of the batch, each closed by the separator, and their offsets."""
     data, offsets = utf8(batch.column(column))
-    starts = piece_starts(data, offsets)
+    tokenizer = _tokenizer(path, special_as_text)
+    starts = piece_starts(data, offsets, tokenizer.whole)
     pieces = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts) - 1,
         [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    ids = _tokenizer(path).ids_of(coded.dictionary.to_pylist())
+    ids = tokenizer.ids_of(coded.dictionary.to_pylist())
     sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
     flat = np.frombuffer(b"".join(ids), np.uint32)
     begin = np.cumsum(sizes) - sizes
@@ -117,13 +128,14 @@ ROWS = ("doc_id {kind}, start long, length long, doc_tokens long, ids binary, ro
         "sequence_id long, stretch long")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, special_as_text: bool
+         ) -> Iterator[pa.RecordBatch]:
     """Full stretches (with their sequence and a group number from 1) and the rest of each document
     (group 0)."""
     row = sequence = TaskContext.get().partitionId() << 36
     for batch in batches:
         for part in slices(batch, "text"):
-            tokens, offsets = tokenise(part, path)
+            tokens, offsets = tokenise(part, path, special_as_text=special_as_text)
             out: dict[str, list] = {k: [] for k in ("at", "start", "length", "all", "ids", "row",
                                                     "sequence", "stretch")}
             for doc in range(part.num_rows):
@@ -198,15 +210,16 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
                    linear: float = 1.0, quadratic: float = 1 / 1024, docs_per_pool: int = 1024,
-                   with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
-                   ) -> DataFrame:
+                   with_ids: bool = True, special_as_text: bool = True, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, the piece's ids (see
     ``unpacked``) and row (number of the input row), one row for each piece. The ids are made and
     carried always; without ``with_ids`` the finished column is left out of the result."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pools = max(1, math.ceil(docs.count() / docs_per_pool))
-    pieces = docs.mapInArrow(lambda it: _cut(it, tokenizer_path, capacity), ROWS.format(kind=kind))
+    pieces = docs.mapInArrow(lambda it: _cut(it, tokenizer_path, capacity, special_as_text),
+                             ROWS.format(kind=kind))
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids", "row"]
 
     def whole(rows: pa.Table) -> pa.Table:

@@ -70,7 +70,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024)
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024,
+                                 special_as_text=False)
     return out.select("doc_id", "start", "length", packing.digest(F.col("ids")).alias("ids_crc32"),
                       "doc_tokens", "sequence_id", "offset")
 

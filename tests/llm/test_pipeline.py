@@ -94,6 +94,21 @@ def test_packed_sequences_hold_every_copy(spark):
         (d, (*tk.encode(t, add_special_tokens=False).ids, 0)) for d, t in rows)
 
 
+def test_added_tokens_keep_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path())
+    texts = ["end <|endoftext|> start", "x<|endoftext|>y", "a  <|endoftext|>  b <|endoftext|",
+             "<|endoftext|><|endoftext|>", "<|endof", "text|> z", " \t<|endoftext|>'s."]
+    docs = make(spark, [(k, t, "en", "s1") for k, t in enumerate(texts)]).select(COLUMNS)
+    parts = collections.defaultdict(list)
+    for r in corpus_pipeline.pack(spark, docs, "").collect():
+        parts[r["doc_id"]].append((r["start"], packing.unpacked(bytes(r["ids"])).tolist()))
+    got = {d: [x for _, ids in sorted(p) for x in ids] for d, p in parts.items()}
+    assert got == {k: [*tk.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert 50256 in got[0]
+
+
 def test_run_goes_through_all_stages(spark):
     out = corpus_pipeline.run(spark, SF001)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
