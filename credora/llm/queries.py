@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, jaccard, lines, mixing, packing, quality, sharding, spelling, spotsigs, substrings,
-               toxicity)
+from . import (bpe, chat, jaccard, lines, mixing, packing, quality, sharding, spelling, spotsigs,
+               substrings, toxicity)
 
 N_SHARDS = 40
 MIX_WEIGHTS = [5, 2, 1]
@@ -16,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    out = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 REGISTRY = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
@@ -113,4 +121,5 @@ REGISTRY = {
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_bpe_transducer": op12_bpe_transducer,
 }
