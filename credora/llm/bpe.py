@@ -42,11 +42,14 @@ from credora.session import scratch_path
 from .frames import materialise, narrow
 from .words import slices, utf8
 
-MAX_WORDS = 1 << 17
+MAX_WORDS = 1 << 18
 WORD_BYTES = 48
 PART_CHARS = 1_000_000   # characters of a text encoded at once
-KNOWN_WORDS = 200_000    # words outside the lexicon that a worker remembers
-FLUSH = 400_000          # distinct words a counting task holds
+KNOWN_WORDS = 100_000    # words outside the lexicon that a worker remembers
+FLUSH = 200_000          # distinct words a counting task holds
+SHORT = 24               # longer words are merged with a heap
+NO_RANK = 1 << 62
+LOW32 = (1 << 32) - 1
 ADDED = " "              # marks added tokens among the words, which hold no white space
 ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 BREAKS = regex.compile(r"[ \n\t\r]")
@@ -75,7 +78,10 @@ class Merges:
                 False, None, None):
             raise ValueError(f"{path}: not a lower-casing word BPE over bytes without a decoder")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern)
+        # the same pattern for lower-case ASCII text, for the faster engine
+        self.ascii_words = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(
             self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -86,7 +92,7 @@ class Merges:
         self.last = [vocab[c + suffix] for c in alphabet]
         self.rank = {}
         for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.rank[vocab[a], vocab[b]] = (i, vocab[a + b])
+            self.rank[vocab[a] << 32 | vocab[b]] = i << 32 | vocab[a + b]
         strings = [""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for token, i in [*vocab.items(), *self.added.items()]:
             strings[i] = token
@@ -103,6 +109,8 @@ class Merges:
 
     def plain(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
         if not has_newer_characters(text):
             return self.words.findall(_normal(text))
         # classes of these characters depend on the library's own Unicode version
@@ -121,27 +129,44 @@ class Merges:
         data = word.encode()
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
-        if len(ids) < 2:
-            return ids
-        rank = self.rank
-        heap = [(*rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
-        heapq.heapify(heap)
-        after = list(range(1, len(ids) + 1))
-        before = list(range(-1, len(ids) - 1))
+        return self._merged(ids) if len(ids) <= SHORT else self._merged_long(ids)
+
+    def _merged(self, ids: list[int]) -> list[int]:
+        rank = self.rank.get
+        ranks = [rank(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) != NO_RANK:
+            i, new = ranks.index(low), low & LOW32
+            ids[i] = new
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | ids[i + 1], NO_RANK)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, NO_RANK)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs and links between the ids that are left."""
+        rank, end = self.rank, len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = []
+
+        def push(i: int, j: int) -> None:
+            if i >= 0 and j < end and (low := rank.get(ids[i] << 32 | ids[j])) is not None:
+                heapq.heappush(heap, (low, i, ids[i], ids[j]))
+
+        for i in range(end - 1):
+            push(i, i + 1)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else len(ids)
-            if j >= len(ids) or ids[j] != b:
+            low, i, a, b = heapq.heappop(heap)
+            j = after[i] if ids[i] == a else end
+            if j >= end or ids[j] != b:
                 continue  # one side was merged with another neighbour meanwhile
-            ids[i], ids[j] = new, -1
-            after[i] = k = after[j]
-            if k < len(ids):
-                before[k] = i
-                if (new, ids[k]) in rank:
-                    heapq.heappush(heap, (*rank[new, ids[k]], i, new, ids[k]))
-            h = before[i]
-            if h >= 0 and (ids[h], new) in rank:
-                heapq.heappush(heap, (*rank[ids[h], new], h, ids[h], new))
+            ids[i], ids[j] = low & LOW32, -1
+            after[i] = after[j]
+            if after[i] < end:
+                before[after[i]] = i
+            push(i, after[i])
+            push(before[i], i)
         return [x for x in ids if x >= 0]
 
 
@@ -168,9 +193,7 @@ def has_newer_characters(text: str) -> bool:
 
 def _normal(text: str) -> str:
     """NFC and lower case of each character; runs of white space are left, as no word holds any."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
-    return text.lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
 
 
 @lru_cache(maxsize=4)
