@@ -137,6 +137,33 @@ SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
 FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.at AND e.form IS NULL
 """
 
+OP13 = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS (
+  SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) t(k))
+  GROUP BY ALL),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, c.j, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[:c.j] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.j + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT lang, g, max(f) AS longer
+  FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM cand WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.g = b.g
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN total t ON t.lang = k.lang QUALIFY rank <= 2000
+"""
+
 SQL = {"op2_substring_dedup": OP2, "op3_chat_format": OP3,
        "op9_line_dedup": OP9, "op10_source_mix": OP10,
-       "op11_spelling_variants": OP11}
+       "op11_spelling_variants": OP11, "op13_phrase_collocations": OP13}

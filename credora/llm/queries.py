@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, chat, jaccard, lines, mixing, packing, quality, sharding, spelling, spotsigs,
+from . import (bpe, chat, jaccard, lines, mixing, packing, phrases, quality, sharding, spelling, spotsigs,
                substrings, toxicity)
 
 N_SHARDS = 40
@@ -109,6 +109,11 @@ def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, min_count=10, cover_percent=50,
+                                top=2000)
+
+
 REGISTRY = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_substring_dedup": op2_substring_dedup,
@@ -122,4 +127,5 @@ REGISTRY = {
     "op10_source_mix": op10_source_mix,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_bpe_transducer": op12_bpe_transducer,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }

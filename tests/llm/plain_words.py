@@ -52,3 +52,33 @@ def spelling_variants(rows, modulus=97, min_chars=5, min_count=3, ratio=2):
             root = form[root]
         out[w] = (f, root, n[w], len(near[w]), n[f] if f else None)
     return out
+
+
+def collocations(rows, longest=3, min_count=10, cover=50, top=2000):
+    """rows: (lang, text) -> [(lang, rank, phrase, a, l, r, n, score)], every n-gram counted on its own."""
+    f, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n-\r]", ascii_lower(text or "")):
+            words = tuple(re.findall("[^ \t]+", piece))
+            n[lang] += len(words)
+            for k in range(1, longest + 1):
+                f[lang].update(words[i:i + k] for i in range(len(words) - k + 1))
+    out = []
+    for lang, count in f.items():
+        found = {p: a for p, a in count.items() if len(p) >= 2 and a >= min_count}
+        covered = Counter()
+        for p, a in found.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    covered[p[i:i + k]] = max(covered[p[i:i + k]], a)
+        ranked = []
+        for p, a in found.items():
+            if p in covered and 100 * covered[p] >= cover * a:
+                continue
+            cuts = [(1_000_000 * a * a // (count[p[:k]] * count[p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            ranked.append((-score, -a, " ".join(p).encode(), count[p[:k]], count[p[k:]]))
+        for rank, (s, a, p, left, right) in enumerate(sorted(ranked)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, n[lang], -s))
+    return sorted(out)
