@@ -6,7 +6,8 @@ longest windows are counted, and Spark's ROLLUP over the window columns sums the
 prefix; n-grams of other lengths are never exploded.
 
 Windows are counted in two steps. A slice of a task's texts counts its own windows with NumPy, so a hot
-phrase is one row for each slice. The rows go to buckets by their first word, and a bucket sums them. There a
+phrase is counted once for each slice. The windows go to buckets by their first word, those of a slice and a
+bucket in one row, and a bucket sums them. There a
 window is padded behind its longest prefix that occurs ``min_count`` times (shorter windows still count for
 their own prefixes), so the ROLLUP gets frequent phrases and single words only. First words, and pairs of
 first words, with a large share of the windows would fill one bucket: they are dealt to many buckets by the
@@ -35,7 +36,7 @@ from .frames import materialise, narrow
 from .words import mix, run_hash, slices, utf8
 
 BUCKET_BYTES = 4_000_000    # text for each bucket of windows
-SLICE = 4_000_000           # bytes of text whose windows are counted together
+SLICE = 1_000_000           # bytes of text whose windows are counted together
 SAMPLE_ROWS = 5_000         # documents on which hot words are estimated
 HOT = 1000                  # a share of 1 / HOT of the windows makes a word or pair hot
 SPREAD = 128                # buckets of a hot word, and of a hot pair
@@ -133,8 +134,8 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Record
 
 def _count(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, hot_words: np.ndarray,
            hot_pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(bucket, split, phrase, n): the windows of each slice as language, tab, words joined by a space.
-    split: the window's first two words are dealt to several buckets."""
+    """(lang, bucket, split, phrases, n): the windows of each slice, those of a bucket in one row as lines of
+    words joined by a space, with their counts. split: the first two words are dealt to several buckets."""
     for lang, part in _by_lang(batches):
         columns, count, words = _windows(part, longest)
         h = _hashes(words, lang)
@@ -143,21 +144,25 @@ def _count(batches: Iterator[pa.RecordBatch], longest: int, buckets: int, hot_wo
         if longest > 1:
             second = h[columns[1]]
             pair = _pair(key, second)
-            split = np.isin(pair, hot_pairs)
+            split = np.isin(pair, hot_pairs) if longest > 2 else split
             key = np.where(np.isin(key, hot_words), _pair(key, second % np.uint64(SPREAD)), key)
-            if longest > 2:
-                key = np.where(split, _pair(pair, h[columns[2]] % np.uint64(SPREAD)), key)
-            else:
-                split[:] = False
+        if longest > 2:
+            key = np.where(split, _pair(pair, h[columns[2]] % np.uint64(SPREAD)), key)
+        place = (key % np.uint64(buckets)).astype(np.int64) * 2 + split
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else order
         words = words.cast(pa.large_string())
-        named = pc.binary_join_element_wise(_text(lang), words, _text("\t"))
-        parts = [named.take(pa.array(columns[0] - 1))]
-        parts += [words.take(pa.array(c - 1, mask=c == 0)) for c in columns[1:]]
+        columns = [c[order] for c in columns]
+        parts = [words.take(pa.array(c - 1, mask=c == 0)) for c in columns]
         phrase = pc.binary_join_element_wise(*parts, _text(" "), null_handling="skip")
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        bounds = np.r_[first, len(order)]
+        lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(bounds), phrase), _text("\n"))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket), pa.array(split), phrase.cast(pa.string()), pa.array(count.astype(np.int64))],
-            names=["bucket", "split", "phrase", "n"])
+            [pa.array([lang] * len(first), pa.string()), pa.array(place[first] >> 1), pa.array(place[first] & 1 == 1),
+             lines.cast(pa.string()),
+             pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(count[order], pa.int32()))],
+            names=["lang", "bucket", "split", "phrases", "n"])
 
 
 def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +191,7 @@ def hot_keys(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, pa.Array]:
-    """The phrases of at least k words, and their first k words (with the language)."""
+    """The phrases of at least k words, and their first k words."""
     space = np.flatnonzero(data == 0x20)
     before = np.searchsorted(space, offsets)
     size = np.diff(before) + 1
@@ -212,15 +217,26 @@ def _sum(keys: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarra
     return coded.dictionary, sums, sums[at]
 
 
+def _lines(column: pa.ChunkedArray) -> pa.Array:
+    """The lines of all rows."""
+    data, offsets = utf8(column.combine_chunks())
+    letter = data != 0x0A
+    # a line ends before its line feed, a row's last one at the row's end
+    ends = np.sort(np.r_[np.flatnonzero(~letter), offsets[1:]])
+    return pa.LargeStringArray.from_buffers(
+        len(ends), pa.py_buffer(np.r_[0, np.cumsum(letter)[ends - 1]].astype(np.int64)), pa.py_buffer(data[letter]))
+
+
 def _reduce(rows: pa.Table, longest: int, min_count: int) -> pa.Table:
     """One bucket: the sum of each window, padded behind its longest prefix of ``min_count`` occurrences."""
-    phrase, n = rows.column("phrase").combine_chunks(), rows.column("n").to_numpy()
-    split = rows.column("split").to_numpy(zero_copy_only=False)
-    data, offsets = utf8(phrase)
+    lists = rows.column("n").combine_chunks()
+    n = lists.flatten().to_numpy().astype(np.int64)
+    split = np.repeat(rows.column("split").to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy())
+    data, offsets = utf8(_lines(rows.column("phrases")))
     keep = np.ones(len(n), np.int64)
     for k in range(2, longest + 1):
         at, keys = _prefixes(data, offsets, k)
-        _, _, total = _sum(keys, n[at])
+        total = _sum(keys, n[at])[2]
         stays = (total >= min_count) | (split[at] if k == 2 else False)
         keep[at[stays]] = k
     out_key, out_n = [], []
@@ -231,7 +247,8 @@ def _reduce(rows: pa.Table, longest: int, min_count: int) -> pa.Table:
         out_key.append(distinct)
         out_n.append(sums)
     keys = pa.chunked_array(out_key).combine_chunks().cast(pa.string())
-    return pa.table({"phrase": keys, "n": pa.array(np.concatenate(out_n))})
+    lang = pa.array([rows.column("lang")[0].as_py()] * len(keys), pa.string())
+    return pa.table({"lang": lang, "phrase": keys, "n": pa.array(np.concatenate(out_n))})
 
 
 def prefix_counts(docs: DataFrame, longest: int = 3, min_count: int = 10, lang_col: str = "lang",
@@ -245,14 +262,12 @@ def prefix_counts(docs: DataFrame, longest: int = 3, min_count: int = 10, lang_c
     hot_words, hot_pairs = hot_keys(docs, size["rows"])
     buckets = max(1, -(-size["bytes"] // BUCKET_BYTES))
     windows = docs.mapInArrow(lambda it: _count(it, longest, buckets, hot_words, hot_pairs),
-                              "bucket int, split boolean, phrase string, n long")
-    reduced = windows.groupBy("bucket").applyInArrow(
-        lambda rows: _reduce(rows.select(["split", "phrase", "n"]), longest, min_count), "phrase string, n long")
+                              "lang string, bucket long, split boolean, phrases string, n array<int>")
+    reduced = windows.groupBy("lang", "bucket").applyInArrow(
+        lambda rows: _reduce(rows, longest, min_count), "lang string, phrase string, n long")
     columns = [f"w{i}" for i in range(1, longest + 1)]
-    words = F.split(F.substring_index("phrase", "\t", -1), " ", -1)
-    leads = (reduced.select(F.expr("substr(phrase, 1, length(phrase) - length(substring_index(phrase, '\t', -1)) - 1)")
-                            .alias("lang"), words.alias("words"), "n")
-             .select("lang", *[F.get("words", i).alias(c) for i, c in enumerate(columns)], "n"))
+    words = F.split("phrase", " ", -1)
+    leads = reduced.select("lang", *[F.get(words, F.lit(i)).alias(c) for i, c in enumerate(columns)], "n")
     sums = leads.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     # grouping_id has one bit for each column that is summed over, the last column lowest
     depth = F.lit(longest) - F.log2(F.col("level") + 1).cast("int")
