@@ -650,7 +650,7 @@ def q_stack_cv(spark, sf):
 @query("mlp_train")
 def q_mlp_train(spark, sf):
     tr, va, cols = _model_frames(spark, sf)
-    m = mlp_plan.mlp_train(tr, cols, LABEL, "small_a", epochs=75, batches_per_epoch=4, test=va)
+    m = mlp_plan.mlp_train(tr, cols, LABEL, "small_a", epochs=75, batch_size=32, test=va)
     return mlp_plan.history_frame(spark, m)
 
 
@@ -658,7 +658,7 @@ def q_mlp_train(spark, sf):
 def q_mlp_cross_val(spark, sf):
     """Five folds of 30 epochs of the medium net, as in the reference's cross-validation."""
     tr, _, cols = _model_frames(spark, sf)
-    return mlp_plan.mlp_cross_val(tr, cols, LABEL, k=5, hidden="medium_a", epochs=30, batches_per_epoch=4)
+    return mlp_plan.mlp_cross_val(tr, cols, LABEL, k=5, hidden="medium_a", epochs=30, batch_size=32)
 
 
 # A tiny 2-2-1 net for the cross-engine scoring check.

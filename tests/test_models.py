@@ -30,7 +30,7 @@ def test_mlp_loss_falls(spark, loans_small):
 
     cols = ["loan_percent_income", "loan_int_rate", "cb_person_cred_hist_length"]
     sc = scale.fit_robust(loans_small, cols)
-    m = mlp_train(sc.transform(loans_small), cols, epochs=6, batches_per_epoch=2, lr=1e-2)
+    m = mlp_train(sc.transform(loans_small), cols, epochs=6, batch_size=64, lr=1e-2)
     losses = [h[1] for h in m.history]
     assert losses[-1] < losses[0]
     scored = m.score(loans_small, keep=["id"])

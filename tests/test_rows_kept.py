@@ -139,7 +139,7 @@ def test_stack_system_and_nets_round_trip(spark, loans_small):
     assert a.count() == loans_small.count() and a.exceptAll(b).count() == 0
 
     cols = ["loan_percent_income", "loan_int_rate"]
-    net = mlp_train(loans_small, cols, hidden=[3], epochs=2, batches_per_epoch=2)
+    net = mlp_train(loans_small, cols, hidden=[3], epochs=2, batch_size=64)
     net.save(spark, scratch_path(spark, "net") + "/net")
     path = scratch_path(spark, "net")
     net.save(spark, path)
@@ -148,5 +148,5 @@ def test_stack_system_and_nets_round_trip(spark, loans_small):
     assert again.score(loans_small, ["id"]).exceptAll(net.score(loans_small, ["id"])).count() == 0
     table = net.evaluate(loans_small).first()
     assert 0 <= table["accuracy"] <= 1 and not math.isnan(table["auc"])
-    cv = mlp_cross_val(loans_small, cols, k=2, hidden=[3], epochs=1, batches_per_epoch=2)
+    cv = mlp_cross_val(loans_small, cols, k=2, hidden=[3], epochs=1, batch_size=64)
     assert [r["fold"] for r in cv.collect()] == ["0", "1", "mean", "spread"]
