@@ -26,6 +26,7 @@ are kept; an empty table gives an empty result; other input columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,20 +54,32 @@ class PieceTokenizer:
         self.tokenizer.encode_special_tokens = special_as_text
         self.whole = [] if special_as_text else [
             t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self._clear()
 
-    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of each piece as packed unsigned 32-bit numbers."""
+    def _clear(self) -> None:
+        """known: the number of each piece; its ids are flat[begin[i]:begin[i + 1]]."""
+        self.known: dict[bytes, int] = {}
+        self.flat, self.begin = array("I"), array("q", [0])
+
+    def ids_of(self, pieces: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces[i] for each i in ``at``, one behind the other, and their numbers."""
         new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self._clear()
+            new = pieces
         if new:
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                self.known = {}
-                new = pieces
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in new],
-                                                     add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, np.uint32).tobytes())
-                              for p, e in zip(new, found))
-        return [self.known[p] for p in pieces]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            for e in found:
+                self.flat.extend(e.ids)
+                self.begin.append(len(self.flat))
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[at]
+        flat, begin = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.begin, np.int64)
+        begin, size = begin[number], begin[number + 1] - begin[number]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        # a copy: the arrays cannot grow while they are looked at
+        return flat[np.repeat(begin - (ends - size), size) + np.arange(total)], size
 
 
 @lru_cache(maxsize=2)
@@ -108,15 +121,8 @@ def tokenise(batch: pa.RecordBatch, path: str, column: str = "text", separator:
         pa.large_binary(), len(starts) - 1,
         [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    ids = tokenizer.ids_of(coded.dictionary.to_pylist())
-    sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-    flat = np.frombuffer(b"".join(ids), np.uint32)
-    begin = np.cumsum(sizes) - sizes
-    index = coded.indices.to_numpy()
-    length = sizes[index]
+    tokens, length = tokenizer.ids_of(coded.dictionary.to_pylist(), coded.indices.to_numpy())
     ends = np.cumsum(length)
-    total = int(ends[-1]) if len(ends) else 0
-    tokens = flat[np.repeat(begin[index] - (ends - length), length) + np.arange(total)]
     # tokens before each document: pieces never cross documents
     first_piece = np.searchsorted(starts[:-1], offsets)
     doc_ends = np.r_[0, ends][first_piece]
@@ -136,27 +142,23 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, special_as
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, offsets = tokenise(part, path, special_as_text=special_as_text)
-            out: dict[str, list] = {k: [] for k in ("at", "start", "length", "all", "ids", "row",
-                                                    "sequence", "stretch")}
-            for doc in range(part.num_rows):
-                own = tokens[offsets[doc]:offsets[doc + 1]]
-                row += 1
-                for start in range(0, len(own), capacity):
-                    ids = own[start:start + capacity]
-                    full = len(ids) == capacity
-                    sequence += full
-                    for k, v in (("at", doc), ("start", start), ("length", len(ids)),
-                                 ("all", len(own)), ("ids", _packed(ids)), ("row", row),
-                                 ("sequence", FULL + sequence if full else None),
-                                 ("stretch", 1 + start // (capacity * STRETCHES) if full else 0)):
-                        out[k].append(v)
+            sizes = np.diff(offsets)
+            pieces = -(-sizes // capacity)
+            at = np.repeat(np.arange(part.num_rows), pieces)
+            start = (np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            length = np.minimum(sizes[at] - start, capacity)
+            full = length == capacity
+            begin = offsets[at] + start
+            ids = [_packed(tokens[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(out["at"], pa.int64())),
-                 *[pa.array(out[k], pa.int64()) for k in ("start", "length", "all")],
-                 pa.array(out["ids"], pa.binary()),
-                 *[pa.array(out[k], pa.int64()) for k in ("row", "sequence", "stretch")]],
+                [part.column("doc_id").take(pa.array(at)), pa.array(start), pa.array(length),
+                 pa.array(sizes[at]), pa.array(ids, pa.binary()), pa.array(row + 1 + at),
+                 pa.array(FULL + sequence + np.cumsum(full), mask=~full),
+                 pa.array(np.where(full, 1 + start // (capacity * STRETCHES), 0))],
                 names=["doc_id", "start", "length", "doc_tokens", "ids", "row", "sequence_id",
                        "stretch"])
+            row += part.num_rows
+            sequence += int(full.sum())
 
 
 def _packed(ids: np.ndarray) -> bytes:
