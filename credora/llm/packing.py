@@ -26,6 +26,7 @@ are kept; an empty table gives an empty result; other input columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,8 @@ from .frames import narrow
 from .words import slices, utf8
 
 CACHE_ENTRIES = 600_000
+SLICE = 2_000_000  # bytes of text tokenised together
+JOINED = 256  # pieces tokenised in one text
 STRETCHES = 16  # full stretches of a document that travel in one group
 FULL = 1 << 62  # ids of sequences that are one full stretch lie above those of the pools
 
@@ -48,12 +51,18 @@ class PieceTokenizer:
     """Token ids of white-space-led pieces, remembered within a worker process."""
 
     def __init__(self, path: str, special_as_text: bool):
+        # Spark runs one worker for each core: threads of the tokenizer would only wait for them
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.whole = [] if special_as_text else [
             t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)  # one character of the byte alphabet for each byte
         self._clear()
 
     def _clear(self) -> None:
@@ -68,11 +77,11 @@ class PieceTokenizer:
             self._clear()
             new = pieces
         if new:
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            for e in found:
-                self.flat.extend(e.ids)
-                self.begin.append(len(self.flat))
+            joined, alone = [], []
+            for p in new:
+                (joined if self._joins(p) else alone).append(p)
+            self._add_joined(joined)
+            self._add(alone)
         number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[at]
         flat, begin = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.begin, np.int64)
         begin, size = begin[number], begin[number + 1] - begin[number]
@@ -82,6 +91,43 @@ class PieceTokenizer:
         return flat[np.repeat(begin - (ends - size), size) + np.arange(total)], size
 
 
+    def _joins(self, piece: bytes) -> bool:
+        """Whether a piece is one space, then no white space at its ends and no added token: the
+        tokenizer's splitting then breaks before and after it wherever it stands."""
+        if not (len(piece) > 1 and piece[0] == 0x20 and 0x20 < piece[1] < 0x7F
+                and (0x20 < piece[-1] < 0x7F or piece[-2] == 0xC3)):
+            return False
+        for w in self.whole:
+            if w in piece:
+                return False
+        return True
+
+    def _add(self, pieces: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        for e in found:
+            self.flat.extend(e.ids)
+            self.begin.append(len(self.flat))
+
+    def _add_joined(self, pieces: list[bytes]) -> None:
+        """The same with many pieces in one text: a piece's ids end where their bytes do."""
+        texts = [b"".join(pieces[i:i + JOINED]).decode() for i in range(0, len(pieces), JOINED)]
+        found = [np.array(e.ids, np.uint32)
+                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not found:
+            return
+        ids = np.concatenate(found)
+        bytes_until = np.cumsum(self.sizes[ids])
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.minimum(np.searchsorted(bytes_until, ends), len(ids) - 1)
+        if not (bytes_until[last] == ends).all():  # a tokenizer that splits otherwise
+            return self._add(pieces)
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        base = len(self.flat)
+        self.flat.frombytes(ids.tobytes())
+        self.begin.frombytes((base + last + 1).astype(np.int64).tobytes())
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str, special_as_text: bool) -> PieceTokenizer:
     return PieceTokenizer(path, special_as_text)
@@ -140,7 +186,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, special_as
     (group 0)."""
     row = sequence = TaskContext.get().partitionId() << 36
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             tokens, offsets = tokenise(part, path, special_as_text=special_as_text)
             sizes = np.diff(offsets)
             pieces = -(-sizes // capacity)
