@@ -1,9 +1,8 @@
 """Principal components from distributed co-moments.
 
-One aggregate computes means, population deviations and the d(d+1)/2 covariances
-(Spark's streaming co-moment updates, numerically stable); the d x d eigen problem
-is solved on the driver (d = number of features); projection is a broadcast of
-d x k literals inside one ``select``.
+Means and covariances of the complete rows come from one Gram matrix of mean-shifted
+values (``gram``); the d x d eigen problem is solved on the driver (d = number of
+features); projection is a broadcast of d x k literals inside one ``select``.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credora.operators.gram import gram
+
 
 @dataclass
 class PCAModel:
@@ -41,20 +42,8 @@ class PCAModel:
 def fit_pca(df: DataFrame, cols: list[str], standardize: bool = True) -> PCAModel:
     """Fit on complete rows of ``cols``. ``standardize``: z-score with population std
     first (PCA of the correlation matrix); otherwise centre only."""
-    d = len(cols)
-    x = [F.col(f"`{c}`").cast("double") for c in cols]
-    complete = F.lit(True)
-    for v in x:
-        complete = complete & v.isNotNull()
-    full = df.where(complete)
-    aggs = [F.avg(v).alias(f"m{i}") for i, v in enumerate(x)]
-    aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = full.agg(*aggs).first()
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    mean = [row[f"m{i}"] for i in range(d)]
+    found = gram(df, cols, complete=True)
+    cov, mean = found.covariance(), [float(m) for m in found.means()]
     sd = np.sqrt(np.clip(np.diag(cov), 0, None))
     scale = [float(s) if (standardize and s > 0) else 1.0 for s in sd]
     mat = cov / np.outer(scale, scale)

@@ -11,10 +11,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credora.functions.special import chi2_p, normal_two_sided_p
+from credora.operators.gram import gram
 from credora.operators.quantile import exact_quantiles
 from credora.operators.running import prefix_sums
 
@@ -44,15 +46,12 @@ def _pair_corrs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r for every ordered pair (long form, diagonal included), pairwise complete
-    rows. A constant column gives NULL instead of raising (S2)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    half = _pair_corrs(df, pairs)
-    one = F.when(F.col("r").isNotNull(), F.lit(1.0))
-    half = half.withColumn("r", F.when(F.col("col_a") == F.col("col_b"), one).otherwise(F.col("r")))
-    both = F.when(F.col("col_a") == F.col("col_b"), F.array(F.struct("col_a", "col_b", "r"))).otherwise(
-        F.array(F.struct("col_a", "col_b", "r"),
-                F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), F.col("r"))))
-    return half.select(F.explode(both).alias("p")).select("p.*")
+    rows, from masked Gram matrices. A constant column gives NULL instead of raising (S2)."""
+    r = gram(df, cols).correlation()
+    d = len(cols)
+    rows = pa.table({"col_a": np.repeat(cols, d), "col_b": np.tile(cols, d),
+                     "r": pa.array(r.ravel(), pa.float64(), from_pandas=True)})
+    return df.sparkSession.createDataFrame(rows)
 
 
 def corr_with_label(df: DataFrame, cols: list[str], label: str = "loan_status") -> DataFrame:
@@ -63,17 +62,16 @@ def corr_with_label(df: DataFrame, cols: list[str], label: str = "loan_status")
 
 def high_corr_pairs(df: DataFrame, cols: list[str], threshold: float = 0.5) -> DataFrame:
     """Pairs (a before b in ``cols``) with |r| above the threshold."""
-    order = {c: i for i, c in enumerate(cols)}
-    idx = F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))])
-    m = corr_matrix(df, cols)
-    return m.where((idx[F.col("col_a")] < idx[F.col("col_b")]) & (F.abs("r") > threshold))
+    r = gram(df, cols).correlation()
+    found = [(cols[i], cols[j], float(r[i, j])) for i in range(len(cols)) for j in range(i + 1, len(cols))
+             if abs(r[i, j]) > threshold]
+    return df.sparkSession.createDataFrame(found, "col_a string, col_b string, r double")
 
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     """Variance inflation = diagonal of the inverse correlation matrix (d x d on the
     driver; d is the number of features). Singular -> +inf."""
-    m = {(r["col_a"], r["col_b"]): r["r"] for r in corr_matrix(df, cols).collect()}
-    R = np.array([[m[(a, b)] if m[(a, b)] is not None else np.nan for b in cols] for a in cols])
+    R = gram(df, cols).correlation()
     try:
         inv = np.linalg.inv(R)
         vals = [float(v) for v in np.diag(inv)]
