@@ -532,6 +532,7 @@ from credora.plans import boosted, mlp as mlp_plan, stack as stack_plan  # noqa:
 from credora.plans.system import CreditSystem, StackSystem  # noqa: E402
 
 STACK_ITERS = 20
+PREFIX_TREES = 200  # of the 900 trees of preset "b": the best prefix is sought among these
 _FITTED: dict = {}
 
 
@@ -580,7 +581,7 @@ def q_gbt_subsampled(spark, sf):
 @query("early_stop_fit")
 def q_early_stop(spark, sf):
     tr, va, cols = _model_frames(spark, sf)
-    m = boosted.early_stop_fit(tr.checkpoint(), cols, LABEL)
+    m = boosted.early_stop_fit(tr.checkpoint(), cols, LABEL, maxIter=PREFIX_TREES)
     return boosted.predict(m, va, keep=["id", LABEL])
 
 
@@ -689,7 +690,8 @@ def q_system_train(spark, sf):
 @query("system_predict")
 def q_system_predict(spark, sf):
     df = loans(spark, sf)
-    s = CreditSystem(use_smote=False, balanced_weights=True, variant="full", use_pca=True)
+    s = CreditSystem(use_smote=True, balanced_weights=True, variant="full", use_pca=True, preset="b",
+                     best_prefix=True, model_params={"maxIter": PREFIX_TREES})
     s.train(df)
     return s.predict(df.drop(LABEL))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from credora.operators import encode, features, knn, metrics, sample, scale
 from credora.operators.pca import PCAModel, fit_pca
-from credora.plans import boosted, stack
+from credora.plans import boosted, leaves, stack
 from credora.sources.persist import read_params, write_params
 
 # The reference's categorical roles.
@@ -40,6 +40,7 @@ class CreditSystem:
     preset: str = "a"
     model_params: dict = field(default_factory=dict)
     balanced_weights: bool = False
+    best_prefix: bool = False         # L2 leaves, and the trees up to the best AUC on a held-out slice
     frame_medians: bool = False
     test_frac: float = 0.2
     seed: int = 42
@@ -50,7 +51,7 @@ class CreditSystem:
     scaler: scale.Scaler | None = None
     pca: PCAModel | None = None
     pca_k: int | None = None
-    model: PipelineModel | None = None
+    model: PipelineModel | leaves.LeafModel | None = None
     threshold: float = 0.5
 
     # ------------------------------------------------------------------ features
@@ -129,8 +130,12 @@ class CreditSystem:
 
     # the model of this system; subclasses bring another one
     def _fit_model(self, train: DataFrame, valid: DataFrame, cols: list[str], weight: str | None) -> None:
-        self.model = boosted.gbt_classifier(train, cols, self.label, self.preset, self.seed, weight,
-                                            **self.model_params)
+        if self.best_prefix:
+            self.model = boosted.early_stop_fit(train, cols, self.label, preset=self.preset, seed=self.seed,
+                                                weight_col=weight, **self.model_params)
+        else:
+            self.model = boosted.gbt_classifier(train, cols, self.label, self.preset, self.seed, weight,
+                                                **self.model_params)
 
     def _score(self, df: DataFrame, keep: list[str], threshold: float | None = None) -> DataFrame:
         return boosted.predict(self.model, df, keep=keep, threshold=threshold)
@@ -139,11 +144,14 @@ class CreditSystem:
         return {"feature_importance": boosted.feature_importance(self.model, cols, 10)}
 
     def _save_model(self, path: str) -> dict:
+        if self.best_prefix:
+            return self.model.save(f"{path}/model")
         self.model.write().overwrite().save(f"{path}/model")
         return {}
 
     def _load_model(self, path: str, saved: dict) -> None:
-        self.model = PipelineModel.load(f"{path}/model")
+        self.model = leaves.LeafModel.load(f"{path}/model", saved) if self.best_prefix else \
+            PipelineModel.load(f"{path}/model")
 
     def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
         """(id, prediction, score) for every row of ``df``."""
@@ -161,7 +169,7 @@ class CreditSystem:
         saved = self._save_model(path)
         params = {k: getattr(self, k) for k in (
             "variant", "label", "id_col", "use_smote", "smote_ratio", "use_pca", "pca_variance",
-            "preset", "model_params", "balanced_weights", "frame_medians", "test_frac", "seed",
+            "preset", "model_params", "balanced_weights", "best_prefix", "frame_medians", "test_frac", "seed",
             "medians", "levels", "feature_cols", "pca_k", "threshold")}
         params["scaler"] = self.scaler.to_dict()
         if self.pca is not None:

@@ -92,3 +92,17 @@ def test_save_load(spark, frames, fitted):
     again = leaves.LeafModel.load(path, model.save(path))
     a, b = model.predict(frames[1], keep=["id"]), again.predict(frames[1], keep=["id"])
     assert a.exceptAll(b).count() == 0 and a.count() == frames[1].count()
+
+
+def test_early_stop_and_system(spark, frames, loans_small):
+    from credora.plans.system import CreditSystem
+
+    model = boosted.early_stop_fit(frames[0], COLS, maxIter=6, maxDepth=3)
+    assert 1 <= model.n_trees <= 6
+    assert boosted.predict(model, frames[1], keep=["id"]).count() == frames[1].count()
+    s = CreditSystem(variant="full", preset="b", balanced_weights=True, best_prefix=True, model_params={"maxIter": 4})
+    assert s.train(loans_small)["roc_auc"].first()["auc"] > 0.5
+    path = scratch_path(spark, "prefix-system")
+    s.save(path)
+    a, b = (x.predict(loans_small.drop("loan_status")) for x in (s, CreditSystem.load(path)))
+    assert a.exceptAll(b).count() == 0 and a.count() == loans_small.count()
