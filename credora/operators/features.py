@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credora.functions.ieee import ieee_divide, ieee_log1p, ieee_sqrt
-from credora.operators.quantile import exact_quantiles
+from credora.operators.quantile import wide_quantiles
 
 # The reference's bin edges (right-closed) and feature lists.
 AGE_EDGES = [0, 25, 35, 45, 100]
@@ -48,9 +48,7 @@ def filter_class(df: DataFrame, label: str, cls, col: str | None = None) -> Data
 
 def fit_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
     """Exact medians (linear interpolation, nulls skipped) in one distributed selection."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
-        .unpivot([], cols, "feature", "value")
-    return {r["feature"]: r["q"] for r in exact_quantiles(long, "value", [0.5], ["feature"]).collect()}
+    return {c: q for (c, _), q in wide_quantiles(df, cols, [0.5]).items()}
 
 
 def impute_median(df: DataFrame, cols: list[str], medians: dict[str, float] | None = None

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credora.operators.quantile import exact_quantiles
+from credora.operators.quantile import grid_of, wide_quantiles, wide_sketches
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -49,20 +49,62 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 def describe(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """count, mean, sample std, min, quartiles (exact, linear), max per column.
 
-    The slim numeric columns are written once; moments and quantiles read that table."""
-    long = _long(df, cols).checkpoint()
-    moments = {r["feature"]: r for r in long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max")).collect()}
-    q = {(r["feature"], r["p"]): r["q"] for r in exact_quantiles(
-        long, "value", list(probs), ["feature"]).collect()}
-    names = [{0.25: "q25", 0.5: "q50", 0.75: "q75"}.get(p, f"q{int(p * 100)}") for p in probs]
+    One aggregate gives the moments and sketches of all columns, one more pass the ranks around the
+    quartiles; nothing is written but the few values near them."""
+    probs = list(probs)
+    found = wide_sketches(df, cols, grid_of(probs), count=F.count, mean=F.avg, std=F.stddev_samp, min=F.min, max=F.max)
+    q = wide_quantiles(df, cols, probs, sketches=found)
     rows = [(c, m["count"], m["mean"], m["std"], m["min"], *[q.get((c, p)) for p in probs], m["max"])
-            for c, m in moments.items()]
-    schema = ", ".join(["feature string", "count bigint", "mean double", "std double", "min double"]
-                       + [f"{n} double" for n in names] + ["max double"])
-    return df.sparkSession.createDataFrame(rows, schema)
+            for c, m in found.items()]
+    return df.sparkSession.createDataFrame(rows, _describe_schema(probs))
+
+
+def _describe_schema(probs: list[float]) -> str:
+    names = [{0.25: "q25", 0.5: "q50", 0.75: "q75"}.get(p, f"q{int(p * 100)}") for p in probs]
+    return ", ".join(["feature string", "count bigint", "mean double", "std double", "min double"]
+                     + [f"{n} double" for n in names] + ["max double"])
+
+
+# ---------------------------------------------------------------- stored, mergeable state
+def profile_state(df: DataFrame, cols: list[str], by: list[str] | None = None, k: int = 800) -> DataFrame:
+    """(by..., feature, count, mean, m2, min, max, sketch): moments and a KLL sketch of each column, for each
+    file, day or other group. States of parts merge to the state of the whole (``merge_states``), so a
+    grown table is profiled from its new part alone. A sketch's rank error is about 2 / k (NaN and NULL
+    are left out; a column without values has count 0)."""
+    by = list(by or [])
+    v = F.when(~F.isnan("value"), F.col("value"))
+    long = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(by, cols, "feature", "value")
+    return long.groupBy(*by, "feature").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"),
+        F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("m2"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merge_states(states: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """States of the groups ``by`` (default: one for each feature) from those of their parts."""
+    keys = [*(by or []), "feature"]
+    n = F.sum("count")
+    whole = states.groupBy(*[F.col(c).alias(f"_k_{c}") for c in keys]).agg(
+        F.try_divide(F.sum(F.col("count") * F.col("mean")), n).alias("_mean"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    apart = F.col("count") * (F.col("mean") - F.col("_mean")) ** 2
+    return states.join(whole, same).groupBy(*keys).agg(
+        n.alias("count"), F.first("_mean").alias("mean"),
+        (F.sum("m2") + F.coalesce(F.sum(apart), F.lit(0.0))).alias("m2"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def describe_states(states: DataFrame, by: list[str] | None = None, probs=(0.25, 0.5, 0.75)) -> DataFrame:
+    """``describe`` from stored states, quartiles within the sketches' rank error; no table is read."""
+    by, probs = list(by or []), list(probs)
+    merged = merge_states(states, by)
+    names = [x.split()[0] for x in _describe_schema(probs).split(", ")][5:-1]
+    some = F.col("count") > 0
+    q = [F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(c) for p, c in zip(probs, names)]
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("m2") / (F.col("count") - 1))).alias("std")
+    return merged.select(*by, "feature", "count", "mean", std, "min", *q, "max")
 
 
 def preview(df: DataFrame, n: int = 5, order_col: str = "id") -> DataFrame:

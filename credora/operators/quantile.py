@@ -13,7 +13,10 @@ than its margin) is widened up to the whole column.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from credora.operators.running import bucket_of
 SELECT_ROWS = 1_000_000   # distinct values one window task may sort
 ACCURACY = 10_000
 MAX_KEYS = 10_000         # the driver holds one row for each key and probability
+COLUMNS_AT_ONCE = 25      # columns whose sketches share one aggregate
 PARTS = 64                # parts that a large range is cut into
 
 
@@ -36,29 +40,79 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     kinds = [(k, dict(base.dtypes)[k]) for k in keys]
     out_schema = ", ".join([f"`{k}` {t}" for k, t in kinds] + ["p double", "q double"])
 
-    def sketch(margin: float):
-        grid = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)} | {0.0, 1.0})
+    def sketch(grid: list[float]) -> list[tuple]:
         rows = base.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
             F.percentile_approx("_v", grid, ACCURACY).alias("_b")).limit(MAX_KEYS + 1).collect()
         if len(rows) > MAX_KEYS:
             raise ValueError(f"more than {MAX_KEYS} keys in {keys}")
-        return rows, {p: i for i, p in enumerate(grid)}
+        return [(tuple(r[k] for k in keys), r["_n"], r["_min"], r["_max"], r["_b"]) for r in rows]
 
+    def pick(ranges: list[tuple], wanted: list[tuple]) -> dict:
+        return _pick(spark, _counts_long(spark, base, kinds, ranges), wanted, select_rows)
+
+    found = _solve(probs, sketch, pick)
+    return spark.createDataFrame([(*key, p, q) for (key, p), q in found.items()], out_schema)
+
+
+def wide_quantiles(df: DataFrame, cols: list[str], probs: list[float], select_rows: int = SELECT_ROWS,
+                   sketches: dict | None = None) -> dict[tuple[str, float], float]:
+    """{(column, p): quantile} of several columns of one table, without turning it into one row for each
+    value: one aggregate with the sketches of all columns and one pass that counts what lies below and
+    inside the ranges. ``sketches``: those of ``wide_sketches`` with ``grid_of(probs)``, if at hand."""
+    given = [sketches]
+
+    def sketch(grid: list[float]) -> list[tuple]:
+        own = given.pop() if given else None
+        own = wide_sketches(df, cols, grid) if own is None else own
+        return [((c,), s["n"], s["low"], s["high"], s["bounds"]) for c, s in own.items()]
+
+    def pick(ranges: list[tuple], wanted: list[tuple]) -> dict:
+        return _pick(df.sparkSession, _counts_wide(df, ranges), wanted, select_rows)
+
+    return {(key[0], p): q for (key, p), q in _solve(probs, sketch, pick).items()}
+
+
+def wide_sketches(df: DataFrame, cols: list[str], grid: list[float], **more) -> dict[str, dict]:
+    """{column: n, low, high, bounds (approximate quantiles at ``grid``)} of the values that are neither NULL
+    nor NaN, and the aggregates ``more`` (name -> function of the column). ``COLUMNS_AT_ONCE`` columns
+    share an aggregate, so that plans stay small; each reads its own columns only."""
+    out = {}
+    for begin in range(0, len(cols), COLUMNS_AT_ONCE):
+        some, aggs = cols[begin:begin + COLUMNS_AT_ONCE], []
+        for i, c in enumerate(some):
+            v = F.col(f"`{c}`").cast("double")
+            real = F.when(~F.isnan(v), v)
+            aggs += [F.count(real).alias(f"n{i}"), F.min(real).alias(f"low{i}"), F.max(real).alias(f"high{i}"),
+                     F.percentile_approx(real, grid, ACCURACY).alias(f"bounds{i}")]
+            aggs += [fn(v).alias(f"{name}{i}") for name, fn in more.items()]
+        row = df.agg(*aggs).first()
+        for i, c in enumerate(some):
+            out[c] = {name: row[f"{name}{i}"] for name in ("n", "low", "high", "bounds", *more)}
+    return out
+
+
+def grid_of(probs: list[float], margin: float = 3.0 / ACCURACY) -> list[float]:
+    """The probabilities around the wanted ones, at which a sketch is read."""
+    return sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-margin, margin)} | {0.0, 1.0})
+
+
+def _solve(probs: list[float], sketch, pick) -> dict[tuple, float]:
+    """{(key, p): quantile}: ranges from the sketch, ranks from ``pick``, wider ranges for what it missed."""
     margin = 3.0 / ACCURACY
     found: dict[tuple, float] = {}
     sizes: dict[tuple, int] = {}
     while True:
-        rows, at = sketch(margin)
+        grid = grid_of(probs, margin)
+        at = {p: i for i, p in enumerate(grid)}
         ranges, wanted = [], []
-        for row in rows:
-            key, n = tuple(row[k] for k in keys), row["_n"]
+        for key, n, least, most, bounds in sketch(grid):
             if not n:
                 continue
             sizes[key] = n
             for p in probs:
-                low = row["_min"] if p - margin <= 0 else row["_b"][at[p - margin]]
-                high = row["_max"] if p + margin >= 1 else row["_b"][at[p + margin]]
+                low = least if p - margin <= 0 else bounds[at[p - margin]]
+                high = most if p + margin >= 1 else bounds[at[p + margin]]
                 h = (n - 1) * p
                 need = [r for r in {math.floor(h), min(math.floor(h) + 1, n - 1)} if (key, r) not in found]
                 if need:
@@ -67,22 +121,22 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     wanted += [(len(ranges) - 1, key, r) for r in need]
         if not wanted:
             break
-        found.update(_pick(spark, base, kinds, ranges, wanted, select_rows))
+        found.update(pick(ranges, wanted))
         if all((key, r) in found for _, key, r in wanted):
             break
         margin = margin * 8 if margin < 1 else 2.0
-    out = []
+    out = {}
     for key, n in sizes.items():
         for p in probs:
             h = (n - 1) * p
             low, frac = math.floor(h), h - math.floor(h)
             a, b = found[key, low], found[key, min(low + 1, n - 1)]
-            out.append((*key, float(p), a + (b - a) * frac if frac else a))
-    return spark.createDataFrame(out, out_schema)
+            out[key, float(p)] = a + (b - a) * frac if frac else a
+    return out
 
 
-def _pick(spark, base: DataFrame, kinds, ranges, wanted, select_rows: int) -> dict:
-    """{(key, rank): value} of the wanted ranks that lie in their ranges."""
+def _counts_long(spark, base: DataFrame, kinds, ranges) -> DataFrame:
+    """(_rid, _v, _c): occurrences of the values inside each range; _v NULL: values below it."""
     keys = [k for k, _ in kinds]
     table = spark.createDataFrame(ranges, ", ".join(
         [f"`_k{i}` {t}" for i, (_, t) in enumerate(kinds)] + ["_rid int", "_lo double", "_hi double"]))
@@ -91,8 +145,41 @@ def _pick(spark, base: DataFrame, kinds, ranges, wanted, select_rows: int) -> di
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     # at most MAX_KEYS x probabilities rows
     inside = base.join(F.broadcast(table), same & (F.col("_v") <= F.col("_hi")))
-    values = inside.groupBy("_rid", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+    return inside.groupBy("_rid", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _counts_wide(df: DataFrame, ranges: list[tuple]) -> DataFrame:
+    """The same from the columns themselves; ranges: (column, rid, low, high)."""
+    cols = list(dict.fromkeys(r[0] for r in ranges))
+    own = [(cols.index(c), rid, low, high) for c, rid, low, high in ranges]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = np.zeros(len(own), np.int64)
+        for batch in batches:
+            rids, values, counts = [], [], []
+            for k, (i, rid, low, high) in enumerate(own):
+                v = batch.column(i).to_numpy(zero_copy_only=False)
+                below[k] += np.count_nonzero(v < low)
+                inside, n = np.unique(v[(v >= low) & (v <= high)], return_counts=True)
+                rids.append(np.full(len(inside), rid))
+                values.append(inside)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(rids), pa.int32()), pa.array(np.concatenate(values)),
+                 pa.array(np.concatenate(counts), pa.int64())], names=["_rid", "_v", "_c"])
+        some = np.flatnonzero(below)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([own[k][1] for k in some], pa.int32()), pa.nulls(len(some), pa.float64()),
+             pa.array(below[some])], names=["_rid", "_v", "_c"])
+
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    return wide.mapInArrow(count, "_rid int, _v double, _c long").groupBy("_rid", "_v").agg(F.sum("_c").alias("_c"))
+
+
+def _pick(spark, counts: DataFrame, wanted, select_rows: int) -> dict:
+    """{(key, rank): value} of the wanted ranks that lie in their ranges."""
+    values = counts.checkpoint()
     stats = {r["_rid"]: r for r in values.groupBy("_rid").agg(
         F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("below"),
         F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("inside"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credora.operators.quantile import exact_quantiles
+from credora.operators.quantile import wide_quantiles
 
 
 @dataclass
@@ -31,10 +31,7 @@ class Scaler:
 def fit_robust(df: DataFrame, cols: list[str], q_low: float = 0.25, q_high: float = 0.75
                ) -> Scaler:
     """Median and inter-quartile range (exact, linear); an IQR of 0 becomes 1 (S1)."""
-    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]) \
-        .unpivot([], cols, "feature", "value")
-    q = {(r["feature"], r["p"]): r["q"]
-         for r in exact_quantiles(long, "value", [q_low, 0.5, q_high], ["feature"]).collect()}
+    q = wide_quantiles(df, cols, [q_low, 0.5, q_high])
     center = {c: q[(c, 0.5)] for c in cols}
     scale = {}
     for c in cols:
