@@ -282,6 +282,44 @@ g AS (SELECT feature, n, bw, range AS gi, (mn - 3 * bw) + range * ((mx - mn + 2
 SELECT g.feature, CAST(gi AS BIGINT) AS grid_index, x,
   sum(exp(-0.5 * ((x - value) / bw) * ((x - value) / bw))) / (n * bw * sqrt(2 * pi())) AS density
 FROM g JOIN lg ON g.feature = lg.feature GROUP BY g.feature, gi, x, n, bw""", ["x", "density"])
+def _psi(x):
+    """digamma of a number of at least 1 in SQL."""
+    y = f"(CAST({x} AS DOUBLE) + 6)"
+    steps = " - ".join(f"1 / (CAST({x} AS DOUBLE) + {j})" for j in range(6))
+    return (f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) "
+            f"+ 1 / (240 * pow({y}, 8)) - 1 / (132 * pow({y}, 10)) - {steps})")
+
+
+_MI = union([f"SELECT '{c}' AS feature, loan_status AS class, CAST({c} AS DOUBLE) AS v FROM loans WHERE {c} IS NOT NULL"
+             for c in ["loan_int_rate", "loan_percent_income"]])
+oracle("mutual_info_neighbours", f""", lg AS ({_MI}),
+pt AS (SELECT feature, class, v, count(*) AS w, sum(count(*)) OVER (PARTITION BY feature, class) AS class_n,
+       row_number() OVER (PARTITION BY feature, class ORDER BY v) AS i FROM lg WHERE class IS NOT NULL GROUP BY 1, 2, 3),
+gaps AS (SELECT a.feature, a.class, a.v, a.class_n, abs(b.v - a.v) AS gap, b.w - CASE WHEN a.i = b.i THEN 1 ELSE 0 END AS w
+         FROM pt a JOIN pt b ON a.feature = b.feature AND a.class = b.class AND b.i BETWEEN a.i - 3 AND a.i + 3
+         WHERE a.class_n > 1),
+reach AS (SELECT *, sum(w) OVER (PARTITION BY feature, class, v ORDER BY gap RANGE UNBOUNDED PRECEDING) AS got FROM gaps),
+dist AS (SELECT feature, class, v, min(gap) FILTER (WHERE got >= least(3, class_n - 1)) AS d FROM reach GROUP BY 1, 2, 3),
+every AS (SELECT feature, v, sum(w) AS w FROM pt WHERE class_n > 1 GROUP BY 1, 2),
+m AS (SELECT d.feature, d.class, d.v, sum(e.w) AS m FROM dist d JOIN every e ON e.feature = d.feature
+      AND CASE WHEN d.d > 0 THEN e.v > d.v - d.d AND e.v < d.v + d.d ELSE e.v = d.v END GROUP BY 1, 2, 3)
+#SELECT
+SELECT feature, greatest(0, {_psi('sum(w)')} + sum(w * {_psi('least(3, class_n - 1)')}) / sum(w)
+  - sum(w * {_psi('class_n')}) / sum(w) - sum(w * {_psi('m')}) / sum(w)) AS mi
+FROM pt JOIN m USING (feature, class, v) GROUP BY feature""", ["mi"])
+oracle("kde_binned", f""", lg AS ({_KL}),
+p AS (SELECT feature, CAST(count(*) AS DOUBLE) AS n, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw,
+      min(value) AS mn, max(value) AS mx FROM lg GROUP BY 1),
+q AS (SELECT *, mn - 3 * bw AS g0, bw * sqrt(8 * 1e-4) AS cell FROM p),
+cells AS (SELECT feature, i, sum(w) AS w FROM (
+  SELECT lg.feature, unnest([floor((value - g0) / cell), floor((value - g0) / cell) + 1]) AS i,
+    unnest([1 - ((value - g0) / cell - floor((value - g0) / cell)), (value - g0) / cell - floor((value - g0) / cell)]) AS w
+  FROM lg JOIN q USING (feature)) GROUP BY 1, 2),
+g AS (SELECT feature, n, bw, g0, cell, range AS gi, g0 + range * ((mx - mn + 2 * 3 * bw) / 199) AS x FROM q, range(200))
+#SELECT
+SELECT g.feature, CAST(gi AS BIGINT) AS grid_index, x,
+  sum(w * exp(-0.5 * pow((x - (g0 + i * cell)) / bw, 2))) / (n * bw * sqrt(2 * pi())) AS density
+FROM g JOIN cells ON g.feature = cells.feature GROUP BY g.feature, gi, x, n, bw""", ["x", "density"])
 oracle("boxplot_by_class", f""", lg AS ({_LONG}),
 qt AS (SELECT feature, loan_status AS class, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
        quantile_cont(value, 0.75) AS q3, count(value) AS n FROM lg WHERE value IS NOT NULL GROUP BY 1, 2),

@@ -313,11 +313,24 @@ def q_auto_histogram(spark, sf):
     return stats.auto_histogram(features.engineer_eda(loans(spark, sf)), AUTO_HIST_COLS)
 
 
+from credora.operators import neighbour_mi  # noqa: E402
+
+
 @query("kde")
 def q_kde(spark, sf):
     return stats.kde(loans(spark, sf), ["loan_int_rate", "loan_percent_income"])
 
 
+@query("kde_binned")
+def q_kde_binned(spark, sf):
+    return stats.kde_binned(loans(spark, sf), ["loan_int_rate", "loan_percent_income"])
+
+
+@query("mutual_info_neighbours")
+def q_mutual_info_neighbours(spark, sf):
+    return neighbour_mi.mutual_info_neighbours(loans(spark, sf), ["loan_int_rate", "loan_percent_income"], LABEL, k=3)
+
+
 @query("boxplot_by_class")
 def q_boxplot(spark, sf):
     return stats.boxplot_by_class(loans(spark, sf), NUMERIC, LABEL)
