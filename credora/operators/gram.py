@@ -68,7 +68,7 @@ def _matrix(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(given, values, 0.0), given
 
 
-def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
+def summed(parts: DataFrame) -> dict[int, np.ndarray]:
     """(row, v array<double>) summed by row."""
     out = parts.select("row", array_to_vector("v").alias("v")).groupBy("row").agg(
         Summarizer.sum(F.col("v")).alias("v"))
@@ -102,8 +102,8 @@ def gram(df: DataFrame, cols: list[str], complete: bool = False) -> Gram:
                                              names=["row", "v"])
 
     schema = "row long, v array<double>"
-    first = _summed(rows.mapInArrow(sums, schema)).get(0, np.zeros(2 * d))
+    first = summed(rows.mapInArrow(sums, schema)).get(0, np.zeros(2 * d))
     shift = np.nan_to_num(np.divide(first[:d], first[d:], out=np.zeros(d), where=first[d:] > 0))
-    found = _summed(rows.mapInArrow(blocks, schema))
+    found = summed(rows.mapInArrow(blocks, schema))
     total = np.stack([found.get(i, np.zeros(4 * d)) for i in range(d)]).reshape(d, 4, d)
     return Gram(shift, *(total[:, k] for k in range(4)))

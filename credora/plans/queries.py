@@ -506,6 +506,16 @@ def q_pca_project_pair(spark, sf):
     return pca_ops.pca_project(loans(spark, sf), ["person_age", "cb_person_cred_hist_length"], k=2, keep=["id"])
 
 
+@query("pca_variance_wide")
+def q_pca_variance_wide(spark, sf):
+    """Leading components of the one-hot table of the engineered loans."""
+    s = CreditSystem()
+    table = s.prepare(loans(spark, sf), fit=True)
+    m = pca_ops.fit_pca_wide(table, s.feature_cols, k=5)
+    rows = [(j + 1, r) for j, r in enumerate(m.explained_variance_ratio)]
+    return spark.createDataFrame(rows, "component int, variance_ratio double")
+
+
 @query("pca_keep_variance")
 def q_pca_keep_variance(spark, sf):
     df = features.impute_median(loans(spark, sf), ["person_emp_length"])

@@ -74,3 +74,27 @@ def test_five_hundred_columns(spark):
     assert time.time() - began < 60
     assert r == pytest.approx(np.corrcoef(x.T), abs=1e-9)
     assert sum(model.explained_variance_ratio) == pytest.approx(1.0)
+
+
+def test_wide_components_equal_exact(spark):
+    """A few strong directions in 60 columns, one of them constant, and 7 columns at full width."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 60)) * 0.2 + rng.normal(size=(500, 4)) @ rng.normal(size=(4, 60))
+    x[:, 9] = 0.1
+    cols = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols)).checkpoint()
+    for some, k in ((cols, 4), (cols[:7], 7)):
+        exact, found = pca.fit_pca(df, some), pca.fit_pca_wide(df, some, k)
+        assert found.explained_variance_ratio == pytest.approx(exact.explained_variance_ratio[:k], abs=1e-6)
+        assert np.abs(found.components) == pytest.approx(np.abs(exact.components[:k]), abs=1e-4)
+    assert pca.fit_pca_wide(df.limit(0), cols[:3], 2).explained_variance_ratio == [0.0, 0.0]
+
+
+def test_five_thousand_columns(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.random((300, 5000)) < 0.02).astype(float) + np.outer(rng.normal(size=300), rng.normal(size=5000))
+    wide = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    model = pca.fit_pca_wide(wide, "v", k=1, turns=4)
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    want = np.linalg.svd(z, compute_uv=False)[0] ** 2 / (z ** 2).sum()
+    assert model.explained_variance_ratio[0] == pytest.approx(want, abs=1e-6)
