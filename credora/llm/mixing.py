@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .frames import WORD, digits_for, materialise, md5_bucket, row_key, word_count
 
+REPEATS = 1000  # repetitions of a row made from one row
 ROWS_PER_BUCKET = 4000
 
 
@@ -119,17 +120,20 @@ def mix_documents(docs: DataFrame, weights: list[int], text_col: str = "text", *
     """The mixed rows themselves, with the columns of ``docs``: every document ``whole`` times, and
     once more up to its first ``extra`` words."""
     taken = mix_sources(docs, weights, text_col=text_col, **mix).filter("taken > 0")
-    # equal rows meet under one key; their repetitions are gathered there
-    taken = taken.groupBy("row_key").agg(F.collect_list(F.struct("whole", "extra", "size"))
-                                         .alias("parts"))
+    # equal rows meet under one key: they are counted, and their repetitions are rows of bounded size again
+    taken = taken.groupBy("row_key", "whole", "extra", "size").agg(F.count(F.lit(1)).alias("n"))
+    runs = F.array(F.struct(F.col("size").alias("words"), (F.col("whole") * F.col("n")).alias("times")),
+                   F.struct(F.col("extra").alias("words"), F.when(F.col("extra") > 0, F.col("n")).otherwise(0)
+                            .alias("times")))
+    taken = taken.select("row_key", "size", F.explode(runs).alias("run")).filter("run.times > 0")
+    part = F.explode(F.sequence(F.lit(0), F.col("run.times") - 1, F.lit(REPEATS)))
+    taken = taken.select("row_key", "size", "run", part.alias("from")).select(
+        "row_key", "size", F.col("run.words").alias("words"),
+        F.least(F.lit(REPEATS), F.col("run.times") - F.col("from")).cast("int").alias("times"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
                         row_key(docs, text_col).alias("row_key")).dropDuplicates(["row_key"])
-    words = F.flatten(F.transform("parts", lambda p: F.concat(
-        F.array_repeat(p["size"], p["whole"].cast("int")),
-        F.when(p["extra"] > 0, F.array(p["extra"])).otherwise(F.array().cast("array<long>")))))
-    size = F.get("parts", F.lit(0))["size"]
     rows = (keyed.join(taken, "row_key")
-            .select("doc", size.alias("size"), F.explode(words).alias("words")))
+            .select("doc", "size", "words", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")))
     text = F.col(f"doc.`{text_col}`")
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), 0),
                                  1, F.col("words").cast("int")), "")

@@ -298,3 +298,24 @@ def test_lexical_beginnings():
     doc, entry = toxicity.lexical(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     assert len(entry) == len(set(entry.tolist())) == 3 + 2  # three words, idio and idiot
     assert toxicity.word_hash("idiots") in entry.tolist()
+
+
+def test_mix_repeats_equal_rows(spark, monkeypatch):
+    """Many equal rows are counted, and come back as often as each of them is taken."""
+    from credora.llm import mixing
+
+    from .conftest import make
+
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(1, "one two three", "en", "a")] * 500 + [(2, "four five", "en", "a"), (3, "six", "en", "b")] * 20
+    docs = make(spark, rows)
+    taken = mixing.mix_sources(docs, [5, 2, 1], (3, 2), 2).collect()
+    words = sum(r["taken"] for r in taken)
+    mixed = mixing.mix_documents(docs, [5, 2, 1], share=(3, 2), max_epochs=2)
+    assert mixed.columns == docs.columns
+    texts = [r["text"] for r in mixed.select("text").collect()]
+    assert sum(len(t.split()) for t in texts) == words
+    by_id = {}
+    for r in taken:
+        by_id[r["doc_id"]] = by_id.get(r["doc_id"], 0) + r["whole"] + (r["extra"] > 0)
+    assert len(texts) == sum(by_id.values())
