@@ -8,8 +8,8 @@ less. Its posterior labels of all documents train a logistic regression on the v
 an offset fit its logits to the labelled sample. The score is a function of the text alone.
 
 Bounded parts, by parameter: ``sample_rows`` labelled rows (smallest md5 of their id) are read to
-find lexicon entries, first rates and the final slope and offset, and at most ``max_voters`` voters
-exist. Votes, rates, correlations and the regression cover all documents. A step of the estimation sends the driver sums
+find lexicon entries, first rates and the final slope and offset; every entry that passes the bar is a
+voter. Votes, rates, correlations and the regression cover all documents. A step of the estimation sends the driver sums
 for voters and pairs of voters, never rows of documents.
 
 Defined cases: a null or empty text has no votes and gets the score of a text without any; label
@@ -230,10 +230,12 @@ def labelled_sample(labels: DataFrame, sample_rows: int) -> DataFrame:
     return materialise(sample, "labelled")
 
 
-def calibration(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def calibration(logits: np.ndarray, toxic: np.ndarray, rows: np.ndarray | None = None
+                ) -> tuple[float, float]:
     """Slope and offset that fit logits to labels (logistic regression on one number, by Newton's
-    method, with targets kept off 0 and 1)."""
-    n_pos, n_neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    method, with targets kept off 0 and 1). rows: how many rows each pair stands for."""
+    rows = np.ones(len(logits)) if rows is None else rows
+    n_pos, n_neg = int((rows * toxic).sum()), int((rows * (1 - toxic)).sum())
     if not n_pos or not n_neg:
         return 1.0, 0.0
     target = np.where(toxic > 0, (n_pos + 1) / (n_pos + 2), 1 / (n_neg + 2))
@@ -241,13 +243,13 @@ def calibration(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - target * z).sum() + 1e-3 * (w @ w))
+        return float((rows * (np.logaddexp(0, z) - target * z)).sum() + 1e-3 * (w @ w))
 
     w = np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        grad = x.T @ (p - target) + 2e-3 * w
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + 2e-3 * np.eye(2)
+        grad = x.T @ (rows * (p - target)) + 2e-3 * w
+        hess = x.T @ (x * (rows * p * (1 - p))[:, None]) + 2e-3 * np.eye(2)
         step, size = np.linalg.solve(hess, grad), 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
@@ -257,9 +259,9 @@ def calibration(logits: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
 
-def choose_voters(docs: DataFrame, sample: DataFrame, max_voters: int
-                  ) -> tuple[np.ndarray, LabelModel]:
-    """Entries (hashes) of the lexicon voters and the rates seen in the labelled sample."""
+def choose_voters(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, LabelModel]:
+    """Entries (hashes) of the lexicon voters and the rates seen in the labelled sample: all whose
+    association with the labels passes the bar (the sample's bound limits their number)."""
     seeds = sorted({word_hash(w) for w in SEEDS})
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counts = materialise(
@@ -272,7 +274,7 @@ def choose_voters(docs: DataFrame, sample: DataFrame, max_voters: int
     if n_pos and n_neg:
         bar = 1.5 * math.log(max(2, counts.count()))
         strong = (counts.withColumn("g", _association(F.col("pos"), F.col("neg"), n_pos, n_neg))
-                  .filter(F.col("g") >= bar).orderBy(F.desc("g"), "entry").limit(max_voters))
+                  .filter(F.col("g") >= bar))
         chosen.update({r["entry"]: (r["pos"], r["neg"]) for r in strong.collect()})
         own = counts.filter(F.col("entry").isin(signed)).collect()
         chosen.update({r["entry"]: (r["pos"], r["neg"]) for r in own})
@@ -304,14 +306,14 @@ def _with_posterior(batches: Iterator[pd.DataFrame], model: LabelModel) -> Itera
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000,
-                    max_voters: int = 200, threshold: float = 0.7, id_col: str = "doc_id",
+                    threshold: float = 0.7, id_col: str = "doc_id",
                     text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted and votes (numbers of the voters that fire) for every row
     of ``docs``. Labels of held-out ids (crc32 of the id modulo 3 is 1) are never read."""
     docs = narrow(docs, doc_id=id_col, text=text_col)
     known = narrow(labels, doc_id=id_col, toxic=label_col).filter(~held_out(F.col("doc_id")))
     sample = labelled_sample(known, sample_rows)
-    entries, start = choose_voters(docs, sample, max_voters)
+    entries, start = choose_voters(docs, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
     votes = materialise(docs.mapInArrow(lambda it: _votes(it, entries),
                                         f"doc_id {kind}, votes array<int>"), "votes")
@@ -334,8 +336,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_00
         + F.lit(float(weights[n])) * (fired > 0).cast("double") \
         + F.lit(float(weights[n + 1])) * F.log1p(fired.cast("double"))
     scored = votes.select("doc_id", logit.alias("logit"), "votes")
-    known = scored.join(F.broadcast(sample), "doc_id").select("logit", "toxic").toPandas()
-    slope, offset = calibration(known["logit"].to_numpy(dtype=float), known["toxic"].to_numpy())
+    # one row for each logit that occurs: at most as many as sets of votes among the sample's ids
+    known = scored.join(F.broadcast(sample), "doc_id").groupBy("logit", "toxic").agg(
+        F.count(F.lit(1)).alias("n")).toPandas().sort_values(["logit", "toxic"])
+    slope, offset = calibration(*(known[c].to_numpy(dtype=float) for c in ("logit", "toxic", "n")))
     return (scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
                           (1 / (1 + F.exp(-(slope * F.col("logit") + offset)))).alias("score"),
                           "votes")
