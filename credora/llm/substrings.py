@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import narrow
+from .frames import materialise, narrow
 from .words import Words, mix, slices, words_of
 
 NO_ID = 2 ** 63 - 1
@@ -73,23 +73,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     have is known to be shared and stands in the third column, else that is null."""
     for batch in batches:
         for part in slices(batch, "text"):
-            ids = part.column("id").to_numpy()
+            ids, rows = part.column("id").to_numpy(), part.column("row").to_numpy()
             words = words_of(part, "text")
             at = words.valid(n)
             anchor = _anchors_of(words, n, words.hashes(WORD_SEED))[at]
-            owner = ids[words.doc_of(at)]
-            order = np.lexsort((owner, anchor))
-            anchor, owner = anchor[order], owner[order]
-            keep = _changes(anchor, owner)
-            anchor, owner = anchor[keep], owner[keep]
+            doc = words.doc_of(at)
+            owner, row = ids[doc], rows[doc]
+            order = np.lexsort((row, owner, anchor))
+            anchor, owner, row = anchor[order], owner[order], row[order]
+            keep = _changes(anchor, owner, row)
+            anchor, owner, row = anchor[keep], owner[keep], row[keep]
             changed = _changes(anchor)
             _, run = _runs(changed)
-            several = np.bincount(run, minlength=1)[run] > 1 if len(run) else changed
+            # rows of one id are one document, but each asks for its own anchors
+            documents = np.bincount(run, _changes(anchor, owner), minlength=1)
+            several = documents[run] > 1 if len(run) else changed
             # the first holder stands for the slice, the others are known to share the anchor
             settled = several & ~changed
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_spread(anchor, settled, owner)), pa.array(owner),
-                 pa.array(anchor.view(np.int64), mask=~several)], names=["key", "id", "anchor"])
+                [pa.array(_spread(anchor, settled, owner)), pa.array(owner), pa.array(row),
+                 pa.array(anchor.view(np.int64), mask=~several)], names=["key", "id", "row", "anchor"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -97,7 +100,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
     16 bits of the second hash; negative if an earlier holder is in the slice."""
     for batch in batches:
         for part in slices(batch, "text"):
-            ids = part.column("id").to_numpy()
+            ids, rows = part.column("id").to_numpy(), part.column("row").to_numpy()
             words = words_of(part, "text")
             shared = np.unique(part.column("anchors").flatten().to_numpy())
             hashes = words.hashes(WORD_SEED)
@@ -111,13 +114,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
             first, second, doc, place = first[order], second[order], doc[order], place[order]
             keep = _changes(first, second, doc)
             first, second, doc, place = first[keep], second[keep], doc[keep], place[keep]
-            owner = ids[doc]
+            owner, row = ids[doc], rows[doc]
             begin, run = _runs(_changes(first, second))
             least = np.minimum.reduceat(owner, begin) if len(begin) else owner
             settled = owner > least[run] if len(run) else np.empty(0, dtype=bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_spread(first, settled, owner)), pa.array(owner),
-                 pa.array(np.where(settled, place | SETTLED, place))], names=["key", "id", "place"])
+                [pa.array(_spread(first, settled, owner)), pa.array(owner), pa.array(row),
+                 pa.array(np.where(settled, place | SETTLED, place))], names=["key", "id", "row", "place"])
 
 
 def _window_keys(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,30 +202,44 @@ def dedup_substrings(docs: DataFrame, n: int = 13, id_col: str = "doc_id",
     docs = narrow(docs, doc_id=id_col, text=text_col)
     kind = docs.schema["doc_id"].dataType
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    anchors = texts.mapInArrow(lambda it: _anchor_rows(it, n), "key long, id long, anchor long")
+    # rows that share an id are told apart by their texts, so that none is joined with another's lists;
+    # written: where no id repeats, the join sees an empty table
+    repeated_ids = materialise(texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                               .select(F.col("id").alias("r_id")), "substrings-ids", files=64)
+    texts = texts.join(repeated_ids, F.col("id") == F.col("r_id"), "left").select(
+        "id", F.when(F.col("r_id").isNotNull(), F.xxhash64("text")).otherwise(0).alias("row"), "text")
+    anchors = texts.mapInArrow(lambda it: _anchor_rows(it, n), "key long, id long, row long, anchor long")
     # a slice's settled rows are spread; its first holder meets those of other slices here
     same_key = Window.partitionBy("key")
     shared = (anchors.withColumn("low", F.min("id").over(same_key))
               .withColumn("high", F.max("id").over(same_key))
               .filter(F.col("anchor").isNotNull() | (F.col("low") < F.col("high")))
-              .groupBy("id").agg(F.collect_list(_low32(F.coalesce("anchor", "key"))).alias("anchors")))
+              .groupBy(*_owner("s")).agg(F.collect_set(_low32(F.coalesce("anchor", "key"))).alias("anchors")))
     # both joins with the texts use the same exchange
-    windows = (texts.join(shared, "id").select("id", "text", "anchors")
-               .mapInArrow(lambda it: _window_rows(it, n), "key long, id long, place long"))
+    windows = (texts.join(shared, _same_row("s")).select("id", "row", "text", "anchors")
+               .mapInArrow(lambda it: _window_rows(it, n), "key long, id long, row long, place long"))
     # the second hash is part of the window's name but not of the shuffle key
     same_window = Window.partitionBy("key", "part")
     repeated = (windows.repartition("key")
                 .withColumn("part", F.col("place").bitwiseAND(0xFFFF))
                 .withColumn("low", F.min("id").over(same_window))
                 .filter((F.col("place") < 0) | (F.col("low") < F.col("id")))
-                .groupBy("id").agg(F.collect_list("place").alias("places")))
-    return (texts.join(repeated, "id", "left")
+                .groupBy(*_owner("w")).agg(F.collect_set("place").alias("places")))
+    return (texts.join(repeated, _same_row("w"), "left")
             .select("id", "text", F.coalesce("places", F.array().cast("array<long>")).alias("places"))
             .mapInArrow(lambda it: _remove(it, n), REMOVED)
             .select(F.nullif("id", F.lit(NO_ID)).cast(kind).alias("doc_id"), "n_words", "n_removed",
                     "kept_text", "intervals"))
 
 
+def _owner(prefix: str) -> list[Column]:
+    return [F.col("id").alias(f"{prefix}_id"), F.col("row").alias(f"{prefix}_row")]
+
+
+def _same_row(prefix: str) -> Column:
+    return (F.col("id") == F.col(f"{prefix}_id")) & (F.col("row") == F.col(f"{prefix}_row"))
+
+
 def _low32(value: Column) -> Column:
     """The low 32 bits of a long as a signed int."""
     low = value.bitwiseAND(0xFFFFFFFF)

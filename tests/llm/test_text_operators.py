@@ -172,3 +172,23 @@ def test_length_classes_bound_likeness(spark):
                      (spotsigs.length_class(F.col("a"), 0.8)
                       - spotsigs.length_class(F.col("b"), 0.8)).alias("gap")).collect()
     assert all(abs(r["gap"]) <= 1 for r in rows if r["near"] >= 0.8)
+
+
+# ---- many rows of one id, many equal rows -----------------------------------------------------
+
+def test_substrings_many_rows_of_one_id(spark):
+    """Rows without an id are one document; each gets its own windows back, in linear time."""
+    import time
+
+    def table(n):
+        rows = [(None, " ".join(f"w{i}x{j}" for j in range(30)), "en", "s") for i in range(n)]
+        return rows + [(5, rows[3][1], "en", "s"), (6, "a b " + rows[7][1], "en", "s")] + rows[:1] * n
+
+    small, large = table(300), table(3000)
+    took = []
+    for rows in (small, large):
+        began = time.time()
+        out = collect(substrings.dedup_substrings(make(spark, rows), 13), "doc_id", "n_words", "n_removed", "kept_text")
+        took.append(time.time() - began)
+        assert out == sorted(plain.substring_dedup(pairs(rows), 13), key=repr)
+    assert took[1] < 10 * took[0] + 5
