@@ -8,6 +8,7 @@ seeds give longer keys where equality of hashes is taken for equality of words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -131,6 +132,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES
         held += int(size)
     if begin < batch.num_rows:
         yield batch.slice(begin)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers idle between stages, beside the executor's own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def words_of(batch: pa.RecordBatch, column: str) -> Words:
