@@ -130,6 +130,6 @@ def test_clean_documents_stay(spark, corpus):
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op")
                                                and x[2:3].isdigit()}
     assert "pipeline" in names and set(entry.oracle_sql()) <= names
