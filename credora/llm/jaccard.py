@@ -1,12 +1,19 @@
 """N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
 Every text is the set of its word n-grams. A signature of one-permutation minima (short texts are
-hashed again into bins that stay empty) fills ``trees`` prefix tries of ``max_depth`` levels. Matched prefixes are
-shortened from the deepest level until a pair at the threshold meets in some tree with probability
-``target_recall``; what matched deeper also matches there, so the final level holds all candidates.
+hashed again into bins that stay empty) is a path of ``max_depth`` levels in each of ``trees``
+prefix tries. The tries are kept sorted: Spark sorts all paths by range, so that a trie node is a run
+of neighbouring rows, and the longest prefix that a row shares with its neighbour is its match.
+
+Matches are used at the deepest level first. The share of links that this level finds is measured:
+a pair of similarity s meets at depth d in some tree with probability 1 - (1 - s^d)^trees, and one
+partner of every matched class, compared by signatures, tells which similarities occur. Until the
+measured recall is ``target_recall``, all prefixes are shortened by a level. At ``forest_depth`` any pair at
+the threshold is found with that probability, so no shorter prefix is needed; a few matches are no
+evidence and lead there (see ``recall``). What matched deeper also matches at the final level.
 
 Copies (equal word sequences) are one class from the start. Classes that meet in a trie node are
-chained to the node's smallest one, never paired; the chains' components are the units of
+chained to the first one of its run, never paired; the chains' components are the units of
 verification. A unit's n-gram sets travel once; inside a task an index over their rarest n-grams
 finds the pairs that can reach the threshold, and each of these is counted exactly. Large
 components are cut into blocks, and every pair of blocks is a unit of its own, so a task is bounded
@@ -20,19 +27,24 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import materialise, narrow
 from .graph import components
 from .words import Words, mix, run_hash, slices, words_of
 
+log = logging.getLogger(__name__)
+
 NO_ID = 2 ** 63 - 1
+LEVEL_BYTES = 2
 EMPTY = np.uint64(2 ** 64 - 1)
 ROUNDS = 16
 BLOCK_CLASSES = 512
@@ -43,11 +55,30 @@ WORD_SEED, GRAM_SEED, TEXT_SEED, WORD_SEED2, TEXT_SEED2 = 11, 12, 13, 14, 15
 def forest_depth(threshold: float, trees: int, max_depth: int, target_recall: float) -> int:
     """Prefix length at which a pair at the threshold is a candidate with the target probability."""
     for depth in range(max_depth, 0, -1):
-        if 1 - (1 - threshold ** depth) ** trees >= target_recall:
+        if meeting(threshold, depth, trees) >= target_recall:
             return depth
     raise ValueError("no prefix length reaches the target recall; use more trees")
 
 
+def meeting(similarity: float, depth: int, trees: int) -> float:
+    """Probability that two texts share a prefix of ``depth`` levels in some tree."""
+    return 1 - (1 - similarity ** depth) ** trees
+
+
+def recall(found: Iterable[tuple[float, int]], threshold: float, depth: int, trees: int,
+           error: float) -> float:
+    """Share of the links that meet at ``depth``, from (similarity, matches) of those that did: each
+    stands for 1 / (its probability to meet). One link at the threshold is counted beside them, so
+    that few matches prove little. Similarities are estimates with a standard ``error``: those up to
+    two errors below the threshold count as links at the threshold."""
+    met, all_ = meeting(threshold, depth, trees), 1.0
+    for similarity, matches in found:
+        if similarity >= threshold - 2 * error:
+            met += matches
+            all_ += matches / meeting(max(similarity, threshold), depth, trees)
+    return met / all_
+
+
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word n-grams and their documents; a shorter text is one n-gram."""
     hashes = words.hashes(WORD_SEED)
@@ -81,13 +112,12 @@ def signatures(grams: np.ndarray, docs: np.ndarray, n_docs: int, bins: int) -> n
     return np.where(steps == 0, filled, mix(filled + steps.astype(np.uint64)))
 
 
-def prefix_keys(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The node of each tree's trie, at ``depth``, that a signature belongs to."""
-    levels = sig.reshape(len(sig), trees, -1)
-    key = np.broadcast_to(mix(np.arange(trees, dtype=np.uint64)), (len(sig), trees))
-    for level in range(depth):
-        key = mix(key ^ levels[:, :, level])
-    return key
+def tree_paths(sig: np.ndarray, trees: int) -> np.ndarray:
+    """A signature as its paths, one tree after the other: each level is ``LEVEL_BYTES`` bytes of a
+    hash of the minimum and the tree, so that paths of different trees do not meet."""
+    tree = mix(np.arange(trees, dtype=np.uint64))
+    levels = mix(sig.reshape(len(sig), trees, -1) ^ tree[None, :, None])
+    return (levels >> np.uint64(64 - 8 * LEVEL_BYTES)).astype(f">u{LEVEL_BYTES}").reshape(len(sig), -1)
 
 
 def _text_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +126,7 @@ def _text_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
             run_hash(words.hashes(WORD_SEED2), begin, end, TEXT_SEED2).view(np.int64))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, max_depth: int, depth: int
+def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, max_depth: int
           ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
@@ -104,15 +134,114 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int, trees: int, max_depth: int,
             grams, docs = shingles(words, n)
             sizes = np.bincount(docs, minlength=part.num_rows)
             sig = signatures(grams, docs, part.num_rows, trees * max_depth)
-            keys = prefix_keys(sig, trees, depth).view(np.int64)
+            paths = [x.tobytes() for x in tree_paths(sig, trees)]
             c1, c2 = _text_keys(words)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(part.num_rows + 1) * trees, pa.int32()),
-                pa.array(np.ascontiguousarray(keys).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("text_key"), pa.array(c1), pa.array(c2),
-                 pa.array(sizes, pa.int64()), lists],
-                names=["id", "text_key", "c1", "c2", "size", "keys"])
+                 pa.array(sizes, pa.int64()), pa.array(paths, pa.binary())],
+                names=["id", "text_key", "c1", "c2", "size", "paths"])
+
+
+def _levels(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of levels."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), f">u{LEVEL_BYTES}").reshape(len(values), -1)
+
+
+MATCHES = "a long, b long, depth int, part int, last boolean, path binary"
+
+
+def _matches(batches: Iterator[pa.RecordBatch], floor: int, max_depth: int) -> Iterator[pa.RecordBatch]:
+    """From sorted (path, rep) rows: each row a whose shared prefix with the row before has ``floor``
+    levels or more, with the first row b of its run at that depth. The first and last row of the
+    partition follow with their paths, for the seams between partitions."""
+    part = TaskContext.get().partitionId()
+    deep = np.arange(floor, max_depth + 1)
+    before, heads = None, None  # last row's levels, first rep of its run at each depth
+
+    def rows(a, b, depth, last=None, path=None):
+        own = part if last is not None else None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()),
+             *[pa.repeat(pa.scalar(x, t), len(a)) for x, t in
+               ((own, pa.int32()), (last, pa.bool_()), (path, pa.binary()))]],
+            names=["a", "b", "depth", "part", "last", "path"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        levels, reps = _levels(batch.column("path")), batch.column("rep").to_numpy()
+        if before is None:
+            yield rows(reps[:1], [None], [None], False, levels[0].tobytes())
+            before, heads = ~levels[0], np.zeros(len(deep), np.int64)
+        same = levels == np.concatenate([before[None], levels[:-1]])
+        shared = np.cumprod(same, axis=1, dtype=np.int64).sum(axis=1)
+        starts = np.where(shared[:, None] < deep, np.arange(len(reps))[:, None], -1)
+        starts = np.maximum.accumulate(starts, axis=0)
+        firsts = np.where(starts >= 0, reps[starts], heads)
+        at = np.flatnonzero(shared >= floor)
+        yield rows(reps[at], firsts[at, shared[at] - floor], shared[at])
+        before, heads, rep = levels[-1], firsts[-1], reps[-1]
+    if before is not None:
+        yield rows([rep], [None], [None], True, before.tobytes())
+
+
+def _forest(classes: DataFrame, trees: int, floor: int, max_depth: int) -> DataFrame:
+    """(a, b, depth): chains of the classes that share a prefix of ``floor`` levels or more. All rows of
+    a trie node are connected by chains of its depth or deeper."""
+    width = LEVEL_BYTES * max_depth
+    paths = classes.select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.substring(F.col("paths"), t * width + 1, F.lit(width)))).alias("path"), "rep")
+    # ordered by rep inside a node as well: a node of very many classes is cut into several ranges
+    ordered = paths.repartitionByRange("path", "rep").sortWithinPartitions("path", "rep")
+    found = materialise(ordered.mapInArrow(lambda it: _matches(it, floor, max_depth), MATCHES), "forest")
+    # two rows for each partition
+    order = Window.orderBy("part", "last")
+    prefix = lambda column, d: F.substring(column, 1, LEVEL_BYTES * d)
+    seams = (found.filter("part is not null")
+             .select("a", "path", "last", F.lag("a").over(order).alias("b"),
+                     F.lag("path").over(order).alias("other"))
+             .filter("not last and b is not null")
+             .select("a", "b", F.coalesce(*[F.when(prefix("path", d) == prefix("other", d), d)
+                                            for d in range(max_depth, floor - 1, -1)]).alias("depth"))
+             .filter("depth is not null"))
+    return found.filter("part is null").select("a", "b", "depth").unionAll(seams).filter("a != b")
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            equal = (_levels(batch.column("paths")) == _levels(batch.column("other"))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("depths"), pa.array(equal, pa.int32())],
+                                             names=["depths", "equal"])
+
+
+def measured_depth(chains: DataFrame, classes: DataFrame, threshold: float, trees: int,
+                   max_depth: int, floor: int, target_recall: float) -> tuple[int, float]:
+    """The deepest level whose measured recall reaches the target, and that recall. Every matched
+    class is compared with one partner at each depth; the driver gets counts of equal minima."""
+    deep = list(range(floor, max_depth + 1))
+    first = chains.groupBy("a").agg(*[
+        F.min(F.when(F.col("depth") >= d, F.col("b"))).alias(f"b{d}") for d in deep])
+    partners = F.array_distinct(F.array_compact(F.array(*[f"b{d}" for d in deep])))
+    pairs = first.select("*", F.explode(partners).alias("b")).select(
+        "a", "b", F.array_compact(F.array(*[
+            F.when(F.col(f"b{d}") == F.col("b"), F.lit(d)) for d in deep])).alias("depths"))
+    mine = classes.select(F.col("rep").alias("a"), "paths")
+    others = classes.select(F.col("rep").alias("b"), F.col("paths").alias("other"))
+    counts = (pairs.join(mine, "a").join(others, "b").select("depths", "paths", "other")
+              .mapInArrow(_agreement, "depths array<int>, equal int")
+              .select(F.explode("depths").alias("depth"), "equal")
+              .groupBy("depth", "equal").count().collect())  # at most depths x (minima + 1) rows
+    minima = trees * max_depth
+    error = (threshold * (1 - threshold) / minima) ** 0.5
+    for depth in reversed(deep):
+        share = recall([(r["equal"] / minima, r["count"]) for r in counts if r["depth"] == depth],
+                       threshold, depth, trees, error)
+        log.info("prefixes of %d levels: measured recall %.6f", depth, share)
+        if share >= target_recall or depth == floor:
+            return depth, share
 
 
 SETS = "comp long, i int, j int, rep long, block int, copies long, grams binary"
@@ -231,17 +360,20 @@ def near_duplicates(docs: DataFrame, threshold: str = "0.8", n: int = 5, trees:
     """doc_id, text_key (xxhash64 of the text), copy_id (smallest id with the same words), class_id (smallest id among all documents
     connected by links) and n_links (other documents at the threshold, copies included) for every
     input row."""
-    depth = forest_depth(float(Fraction(threshold)), trees, max_depth, target_recall)
+    floor = forest_depth(float(Fraction(threshold)), trees, max_depth, target_recall)
     docs = narrow(docs, doc_id=id_col, text=text_col)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     signed = materialise(keyed.select("id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
-        lambda it: _sign(it, n, trees, max_depth, depth),
-        "id long, text_key long, c1 long, c2 long, size long, keys array<long>"), "signed")
+        lambda it: _sign(it, n, trees, max_depth),
+        "id long, text_key long, c1 long, c2 long, size long, paths binary"), "signed")
     classes = materialise(
         signed.filter("size > 0").groupBy("c1", "c2").agg(
             F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-            F.max("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    units = _units(classes)
+            F.max("size").alias("size"), F.first("paths").alias("paths")), "classes")
+    chains = materialise(_forest(classes, trees, floor, max_depth), "chains")
+    depth, _ = measured_depth(chains, classes, float(Fraction(threshold)), trees, max_depth, floor,
+                              target_recall)
+    units = _units(classes, chains.filter(F.col("depth") >= depth).select("a", "b"))
     # texts travel once; only candidates' n-grams travel on
     sets = (keyed.join(units, F.col("id") == F.col("rep"))
             .select("comp", "rep", "c1", "block", "blocks", "copies", "text")
@@ -280,13 +412,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
                       & (F.col("text_key") == F.col("gone_key")), "left_anti").select("doc.*")
 
 
-def _units(classes: DataFrame) -> DataFrame:
+def _units(classes: DataFrame, chains: DataFrame) -> DataFrame:
     """rep, c1, copies, comp, block, blocks of every class that meets another in a trie node."""
-    nodes = classes.select(F.explode("keys").alias("key"), "rep")
-    shared = materialise(nodes.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-                         .filter("low < high").select("key", "low"), "nodes")
-    chains = (nodes.join(shared, "key").filter("rep != low")
-              .select(F.col("rep").alias("a"), F.col("low").alias("b")))
     roots = components(chains)
     held = classes.select("rep", "c1", "copies", "size").join(roots, F.col("rep") == F.col("node"))
     counts = held.groupBy("root").agg(F.greatest(

@@ -113,6 +113,87 @@ def test_forest_shortens_until_recall():
         jaccard.forest_depth(0.1, 2, 4, 0.999)
 
 
+def test_recall_counts_what_did_not_meet():
+    # a match at similarity s stands for 1 / (its probability to meet)
+    p8 = 1 - (1 - 0.8 ** 8) ** 32
+    assert jaccard.meeting(0.8, 8, 32) == pytest.approx(p8)
+    assert jaccard.recall([], 0.8, 8, 32, 0.0) == pytest.approx(p8)
+    assert jaccard.recall([(0.8, 10 ** 6)], 0.8, 8, 32, 0.0) == pytest.approx(p8, abs=1e-6)
+    assert jaccard.recall([(0.95, 10 ** 4)], 0.8, 8, 32, 0.0) > 0.999999
+    assert jaccard.recall([(0.5, 10 ** 6)], 0.8, 8, 32, 0.0) == pytest.approx(p8)  # no links
+
+
+def _near(groups, words, edits, rng):
+    """Pairs of a text and a copy with ``edits`` words changed, far from each other."""
+    rows = []
+    for g in range(groups):
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+        v = list(w)
+        for e in range(edits):
+            v[(e + 1) * words // (edits + 1)] = f"x{g}y{e}"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+    return rows
+
+
+def test_forest_depth_follows_the_data(spark, monkeypatch):
+    """Close copies keep long prefixes; copies near the threshold shorten them. Links are the same."""
+    import random
+
+    depths = []
+    measure = jaccard.measured_depth
+    monkeypatch.setattr(jaccard, "measured_depth", lambda *a: depths.append(measure(*a)) or depths[-1])
+    for edits in (1, 4):  # Jaccard about 0.95 and 0.81
+        rows = _near(150, 200, edits, random.Random(edits))
+        out = jaccard.near_duplicates(make(spark, [(d, t, "en", "s") for d, t in rows]))
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in out.collect()} == \
+            {d: (d - d % 2, 1) for d, _ in rows}
+    (close, high), (far, _) = depths
+    assert close > far == jaccard.forest_depth(0.8, 32, 8, 0.9999)
+    assert high >= 0.9999
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_forest_chains_connect_every_node(spark, parts):
+    """Rows that share a prefix of d levels are connected by chains of depth d or more, also where
+    their run is cut by a partition; rows that do not are not."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 40, (300, 4), dtype=np.uint64)  # two trees of two levels, few values
+    sig[:90] = sig[0]  # one node of many rows
+    paths = jaccard.tree_paths(sig, 2)
+    classes = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(paths)], "rep long, paths binary")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chains = jaccard._forest(classes, 2, 1, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for depth in (1, 2):
+        root = list(range(300))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in chains:
+            if r["depth"] >= depth:
+                root[max(find(r["a"]), find(r["b"]))] = min(find(r["a"]), find(r["b"]))
+        want = list(range(300))
+        for _ in range(300):
+            last = list(want)
+            for tree in (0, 1):
+                low = {}
+                keys = [tuple(p[2 * tree:2 * tree + depth]) for p in paths]
+                for i, k in enumerate(keys):
+                    low[k] = min(low.get(k, 300), want[i])
+                want = [min(want[i], low[k]) for i, k in enumerate(keys)]
+            if want == last:
+                break
+        assert [find(i) for i in range(300)] == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     df = spark.createDataFrame([(max(e), min(e)) for e in edges], "a long, b long")
