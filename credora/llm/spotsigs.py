@@ -5,7 +5,7 @@ word (or the first content word of a text); its signature is the chain of ``CHAI
 from there on, skipping common words. A document's fingerprint is its set of signatures; the string
 form is a 128-bit digest of the sorted set. Two fingerprints are alike by the Jaccard coefficient,
 which set lengths alone bound: sets of lengths a <= b reach at most a / b, so only length classes
-that can reach a threshold need comparing.
+that can reach a threshold need comparing (``near_fingerprints``).
 
 Everything is DataFrame code over whole texts. Neighbours in the order of ids are found in one
 shuffle of the texts: documents go to ranges of ids, each range's first document also to the range
@@ -19,6 +19,8 @@ table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +85,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 def length_class(signatures: Column, threshold: float) -> Column:
     """Sets whose likeness can reach the threshold are of the same class or of neighbouring ones."""
-    return F.floor(F.ln(F.greatest(F.size(signatures), F.lit(1))) / F.ln(F.lit(1 / threshold))) \
-        .cast("int")
+    # the small shift keeps sizes that are powers of 1 / threshold off the edges of the classes
+    size = F.ln(F.greatest(F.size(signatures), F.lit(1)))
+    return F.floor(size / F.ln(F.lit(1 / threshold)) + 1e-9).cast("int")
 
 
 def _ranges_before(ids: Column, splits: list[int]) -> Column:
@@ -164,3 +167,76 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = narrow(docs, doc_id=id_col, text=text_col)
     signed = with_signatures(rows, F.coalesce("text", F.lit("")), "signatures")
     return signed.select("doc_id", "signatures", digest(F.col("signatures")).alias("fingerprint"))
+
+
+def _fingerprint_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """fingerprint, signatures, copies: one row for each distinct fingerprint."""
+    signed = fingerprints(docs, id_col, text_col)
+    return signed.groupBy("fingerprint").agg(F.first("signatures").alias("signatures"),
+                                             F.count(F.lit(1)).alias("copies"))
+
+
+def _rare_first(classes: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``classes`` with ``ordered``: the signatures that are not frequent, then the others by count."""
+    held = (classes.select("fingerprint", F.explode("signatures").alias("signature"))
+            .join(frequent, "signature").groupBy("fingerprint")
+            .agg(F.sort_array(F.collect_list(F.struct("holders", "signature"))).alias("held")))
+    late = F.coalesce(F.col("held.signature"), F.array().cast("array<long>"))
+    return classes.join(held, "fingerprint", "left").select(
+        *classes.columns, F.concat(F.array_except("signatures", late), late).alias("ordered"))
+
+
+def _index_entries(classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """fingerprint, size, signature, length_class: a set's rarest signatures, so many that a set at the
+    threshold shares one of them."""
+    size = F.size("signatures")
+    needed = F.ceil(size * threshold.numerator / F.lit(threshold.denominator)).cast("int")
+    return classes.select(
+        "fingerprint", size.alias("size"),
+        length_class(F.col("signatures"), float(threshold)).alias("length_class"),
+        F.explode(F.slice("ordered", F.lit(1), size - needed + 1)).alias("signature"))
+
+
+def near_fingerprints(queries: DataFrame, docs: DataFrame, threshold: str = "0.8",
+                      frequent_share: int = 1000, salts: int = 16, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """query, fingerprint, copies, likeness: for each distinct fingerprint of ``queries`` the distinct
+    fingerprints of ``docs`` whose likeness is at least the threshold, and the number of rows of
+    ``docs`` that have them. ``fingerprints`` tells which rows those are.
+
+    Signatures held by more than 1 / ``frequent_share`` of the classes (at most ``frequent_share``
+    times the mean set length of them) are counted as frequent and indexed only where a set has too
+    few others. Index entries meet in the partition of their signature, length class and salt;
+    pairs whose lengths cannot reach the threshold are pruned there, and the rest are compared
+    exactly. The salt splits a signature that very many sets hold; a query goes to every salt.
+
+    Defined cases: empty fingerprints are alike to each other only; a fingerprint is alike (1.0) to
+    itself where ``docs`` has it; empty tables give an empty result.
+    """
+    t = Fraction(threshold)
+    index = materialise(_fingerprint_classes(docs, id_col, text_col), "fingerprints")
+    asked = materialise(_fingerprint_classes(queries, id_col, text_col), "queries")
+    total = index.count()
+    frequent = materialise(
+        index.select(F.explode("signatures").alias("signature"))
+        .groupBy("signature").agg(F.count(F.lit(1)).alias("holders"))
+        .filter(F.col("holders") * frequent_share > total), "frequent")
+    entries = _index_entries(_rare_first(index, frequent), t).withColumn(
+        "salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)).cast("int"))
+    probes = _index_entries(_rare_first(asked, frequent), t).select(
+        F.col("fingerprint").alias("query"), F.col("size").alias("query_size"), "signature",
+        F.explode(F.array(*[F.col("length_class") + d for d in (-1, 0, 1)])).alias("length_class")
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    possible = F.least("size", "query_size") * t.denominator >= F.greatest("size", "query_size") * t.numerator
+    met = (entries.join(probes, ["signature", "length_class", "salt"]).filter(possible)
+           .select("query", "fingerprint").filter("query != fingerprint").distinct())
+    mine = asked.select(F.col("fingerprint").alias("query"), F.col("signatures").alias("query_signatures"))
+    common = F.size(F.array_intersect("signatures", "query_signatures"))
+    union = F.size("signatures") + F.size("query_signatures") - common
+    found = (met.join(index, "fingerprint").join(mine, "query")
+             .filter(common * t.denominator >= union * t.numerator)
+             .select("query", "fingerprint", "copies",
+                     likeness(F.col("signatures"), F.col("query_signatures")).alias("likeness")))
+    same = index.join(asked.select("fingerprint"), "fingerprint").select(
+        F.col("fingerprint").alias("query"), "fingerprint", "copies", F.lit(1.0).alias("likeness"))
+    return found.unionAll(same)

@@ -255,6 +255,37 @@ def test_length_classes_bound_likeness(spark):
     assert all(abs(r["gap"]) <= 1 for r in rows if r["near"] >= 0.8)
 
 
+def check_near(spark, docs, queries, threshold, **kw):
+    from fractions import Fraction
+
+    sets = {r["fingerprint"]: set(r["signatures"]) for r in spotsigs.fingerprints(docs).collect()}
+    copies = collections.Counter(r["fingerprint"] for r in spotsigs.fingerprints(docs).collect())
+    asked = {r["fingerprint"]: set(r["signatures"]) for r in spotsigs.fingerprints(queries).collect()}
+    want = {}
+    for q, a in asked.items():
+        for f, b in sets.items():
+            near = Fraction(len(a & b), len(a | b)) if a | b else Fraction(1)
+            if near >= Fraction(threshold):
+                want[q, f] = (copies[f], pytest.approx(float(near)))
+    out = spotsigs.near_fingerprints(queries, docs, threshold, **kw).collect()
+    assert len(out) == len(want)
+    assert {(r["query"], r["fingerprint"]): (r["copies"], r["likeness"]) for r in out} == want
+    return out
+
+
+@pytest.mark.parametrize("threshold, share", [("0.8", 1000), ("0.5", 20), ("0.3", 1)])
+def test_near_fingerprints_equal_brute_force(spark, docs, threshold, share):
+    """Also where most signatures are frequent and where hardly any is."""
+    out = check_near(spark, docs, docs.filter("doc_id % 3 = 0"), threshold, frequent_share=share, salts=3)
+    assert any(0 < r["likeness"] < 1 for r in out) and any(r["copies"] > 20 for r in out)
+
+
+def test_near_fingerprints_odd_and_empty(spark, odd, no_docs):
+    check_near(spark, odd, odd, "0.8")
+    assert spotsigs.near_fingerprints(no_docs, odd).count() == 0
+    assert spotsigs.near_fingerprints(odd, no_docs).count() == 0
+
+
 # ---- many rows of one id, many equal rows -----------------------------------------------------
 
 def test_substrings_many_rows_of_one_id(spark):
