@@ -9,6 +9,10 @@ of a small group leans on its language's, and that on the corpus's, by ``prior``
 same way at every size. A document is rejected if its squared distance exceeds the chi-square
 quantile at 1 - ``alpha``.
 
+Where nearly all documents of a group agree in a statistic (no symbols, no repeated lines), their
+scatter is no scale. Each statistic's standard deviation is therefore at least the chance noise of a
+document of the group's median length (``NOISE``): longer documents are held to tighter bounds.
+
 Everything is DataFrame code. A step shuffles one row per group and distance bin, never documents;
 sums are taken over integers, so they do not depend on the order of tasks.
 
@@ -27,10 +31,14 @@ from pyspark.sql import functions as F
 from .frames import WORD, materialise, row_key
 
 DIMS = 4
+UNITS = ["words", "lines"]
 GROUP_FILES = 8
 SCALE = 4096  # vectors are stored as integers of 1 / SCALE
-# Smallest standard deviations: log word length, symbols a word, repeated lines and repeated words.
-FLOORS = [0.06, 0.04, 0.15, 0.15]
+# Chance noise of each statistic: (a, unit, b) is a deviation of a / sqrt(median of the unit + b). Word
+# lengths vary by about half their mean; a root of a count has a deviation of 1/2 if its events
+# are single lines, 1 for symbols (which come in pairs and lists), and sqrt(10) / 2 for words under
+# repeated windows (10 at a time); b is what the statistic adds to its unit.
+NOISE = [(0.5, "words", 30), (1.0, "words", 20), (0.5, "lines", 3), (10 ** 0.5 / 2, "words", 20)]
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def _vector() -> list[Column]:
     """Transformed statistics; the added counts steady those of short texts."""
     n = F.col("n_words")
     return [F.ln((F.col("word_chars") + 150) / (n + 30)),
-            F.col("n_symbols") / (n + 20),
+            F.sqrt(F.col("n_symbols") / (n + 20)),
             F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 3)),
             F.sqrt(F.col("n_repeat_words") / (n + 20))]
 
@@ -125,14 +133,16 @@ def _distance() -> Column:
 
 
 def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and interquartile ranges as a first location and scatter."""
-    quartiles = vectors.groupBy("key").agg(*[
-        F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i in range(DIMS)])
+    """Medians and interquartile ranges as a first location and scatter, and the floors f_i."""
+    quartiles = vectors.groupBy("key").agg(
+        *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i in range(DIMS)],
+        *[F.percentile_approx(unit, 0.5, 10000).alias(unit) for unit in UNITS])
+    floors = [a / F.sqrt(F.col(unit) + b) for a, unit, b in NOISE]
     roots = [F.lit(0.0).alias(f"l{i}{j}") if i != j else
-             (1 / F.greatest(F.lit(FLOORS[i]), (F.col(f"q{i}")[2] - F.col(f"q{i}")[0])
+             (1 / F.greatest(floors[i], (F.col(f"q{i}")[2] - F.col(f"q{i}")[0])
                              / (1.349 * SCALE))).alias(f"l{i}{j}") for i, j in _pairs()]
     return quartiles.select("key", *[(F.col(f"q{i}")[1] / SCALE).alias(f"m{i}") for i in range(DIMS)],
-                            *roots)
+                            *[f.alias(f"f{i}") for i, f in enumerate(floors)], *roots)
 
 
 def _concentrate(vectors: DataFrame, fit: DataFrame, core: float) -> DataFrame:
@@ -149,15 +159,17 @@ def _concentrate(vectors: DataFrame, fit: DataFrame, core: float) -> DataFrame:
     near = (bins.withColumn("nearer", F.coalesce(F.sum("n").over(before), F.lit(0)))
             .withColumn("all", F.sum("n").over(Window.partitionBy("key")))
             .filter(F.col("nearer") < core * F.col("all")))
+    floors = [f"f{i}" for i in range(DIMS)]
     total = near.groupBy("key").agg(
         F.max("all").alias("size"), F.sum("n").alias("n"),
         *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIMS)],
-        *[F.sum(f"s{i}{j}").alias(f"s{i}{j}") for i, j in _pairs()])
+        *[F.sum(f"s{i}{j}").alias(f"s{i}{j}") for i, j in _pairs()]) \
+        .join(fit.select("key", *floors), "key")
     mean = {i: F.col(f"s{i}") / F.col("n") / SCALE for i in range(DIMS)}
     return total.select(
-        "key", "size", *[m.alias(f"m{i}") for i, m in mean.items()],
+        "key", "size", *floors, *[m.alias(f"m{i}") for i, m in mean.items()],
         *[((F.col(f"s{i}{j}") / F.col("n") / SCALE ** 2 - mean[i] * mean[j]) * consistency(core)
-           + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _pairs()])
+           + (F.col(f"f{i}") ** 2 if i == j else F.lit(0.0))).alias(f"c{i}{j}") for i, j in _pairs()])
 
 
 def _chi2_cdf(x: float, dof: int) -> float:
@@ -180,14 +192,15 @@ def consistency(core: float) -> float:
 
 
 def fit_scatter(vectors: DataFrame, core: float = 0.75, steps: int = 5) -> DataFrame:
-    """key, size, m_i, c_ij of every group of (key, x0..x3)."""
+    """key, size, m_i, c_ij of every group of (key, x0..x3, words, lines)."""
     fit = materialise(_start(vectors), "mcd", GROUP_FILES)
     for step in range(steps):
         found = _concentrate(vectors, fit, core)
         if step == steps - 1:
             return materialise(found, "mcd", GROUP_FILES)
         fit = materialise(_with_inverse_root(found).select(
-            "key", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in _pairs()]), "mcd",
+            "key", *[f"f{i}" for i in range(DIMS)], *[f"m{i}" for i in range(DIMS)],
+            *[f"l{i}{j}" for i, j in _pairs()]), "mcd",
                           GROUP_FILES)
     raise ValueError("steps must be positive")
 
@@ -219,7 +232,8 @@ def judge(docs: DataFrame, core: float = 0.75, steps: int = 5, prior: float = 50
                                       for i, x in enumerate(_vector())]), "quality")
     coords = [f"x{i}" for i in range(DIMS)]
     passed = stats.filter(~F.col("base_failed"))
-    vectors = passed.select(F.explode("keys").alias("key"), *coords)
+    vectors = passed.select(F.explode("keys").alias("key"), *coords, F.col("n_words").alias("words"),
+                            F.col("n_lines").alias("lines"))
     keys = passed.select(F.get("keys", F.lit(1)).alias("lang_key"),
                          F.get("keys", F.lit(2)).alias("key")).distinct()
     fit = fit_scatter(vectors, core, steps)

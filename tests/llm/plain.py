@@ -112,9 +112,6 @@ def base_statistics(text):
             "n_repeat_words": len(covered)}
 
 
-FLOORS = np.array([0.06, 0.04, 0.15, 0.15])
-
-
 def chi2_cdf(x, dof):
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
@@ -127,12 +124,17 @@ def chi2_quantile(p, dof=4):
     return high
 
 
-def scatter(x, core=0.75, steps=5):
-    """Concentration steps over integer vectors (of 1 / 4096), from quartiles."""
+def scatter(x, words_, lines, core=0.75, steps=5):
+    """Concentration steps over integer vectors (of 1 / 4096), from quartiles. No deviation is below
+    the chance noise at the median numbers of words and lines."""
+    at = max(0, math.ceil(0.5 * len(x)) - 1)
+    w, n = sorted(words_)[at], sorted(lines)[at]
+    floors = np.array([0.5 / math.sqrt(w + 30), 1 / math.sqrt(w + 20), 0.5 / math.sqrt(n + 3),
+                       math.sqrt(10) / 2 / math.sqrt(w + 20)])
     factor = core / chi2_cdf(chi2_quantile(core), 6)
     q = [np.sort(x, axis=0)[max(0, math.ceil(p * len(x)) - 1)] for p in (0.25, 0.5, 0.75)]
     mean = q[1] / 4096
-    inverse = np.diag(1 / np.maximum(FLOORS, (q[2] - q[0]) / (1.349 * 4096)) ** 2)
+    inverse = np.diag(1 / np.maximum(floors, (q[2] - q[0]) / (1.349 * 4096)) ** 2)
     for _ in range(steps):
         gap = x / 4096 - mean
         bins = np.floor(64 * np.log(1 + np.minimum(np.einsum("ij,jk,ik->i", gap, inverse, gap), 1e12)))
@@ -140,29 +142,31 @@ def scatter(x, core=0.75, steps=5):
         own = x[nearer < core * len(x)]
         mean = own.sum(0) / len(own) / 4096
         cov = (own.T @ own) / len(own) / 4096 ** 2 - np.outer(mean, mean)
-        cov = cov * factor + np.diag(FLOORS ** 2)
+        cov = cov * factor + np.diag(floors ** 2)
         inverse = np.linalg.inv(cov)
     return len(x), mean, cov
 
 
 def judge(rows, prior=50.0, alpha=1e-6):
     """rows: (doc_id, text, lang, source) -> [(doc_id, base_failed, kept)]"""
-    stats, vectors = [], {}
+    stats, vectors, units = [], {}, {}
     for i, (d, t, lang, source) in enumerate(rows):
         s = base_statistics(t)
         failed = s["n_words"] < 10 or 100 * s["n_repeat_words"] > 20 * s["n_words"]
         stats.append(failed)
         if not failed:
             n = s["n_words"]
-            v = [math.log((s["word_chars"] + 150) / (n + 30)), s["n_symbols"] / (n + 20),
+            v = [math.log((s["word_chars"] + 150) / (n + 30)), math.sqrt(s["n_symbols"] / (n + 20)),
                  math.sqrt(s["n_dup_lines"] / (s["n_lines"] + 3)),
                  math.sqrt(s["n_repeat_words"] / (n + 20))]
+            units[i] = (n, s["n_lines"])
             vectors[i] = np.array([math.floor(abs(y) * 4096 + 0.5) * (1 if y >= 0 else -1) for y in v])
     groups = collections.defaultdict(list)
     for i in vectors:
         for key in ((), (rows[i][2],), (rows[i][2], rows[i][3])):
             groups[key].append(i)
-    fits = {k: scatter(np.array([vectors[i] for i in own])) for k, own in groups.items()}
+    fits = {k: scatter(np.array([vectors[i] for i in own]), *zip(*[units[i] for i in own]))
+            for k, own in groups.items()}
 
     def lean(fit, above):
         share = fit[0] / (fit[0] + prior)

@@ -80,6 +80,29 @@ def test_quality_rejects_planted_outliers(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, k in out.items() if k)
 
 
+def test_quality_bounds_follow_the_group(spark):
+    """In a group of clean texts of 20 lines a half-repeated text and one with a symbol in every fifth
+    word go; clean texts, also with one line repeated or some symbols, stay."""
+    import random
+
+    rng = random.Random(5)
+
+    def line():
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(10))
+
+    clean = [(i, "\n".join(line() for _ in range(20)), "en", "s1") for i in range(400)]
+    half = "\n".join(x for _ in range(10) for x in (line(), "same line"))
+    marked = "\n".join(" ".join("#" + w if k % 5 == 0 else w for k, w in enumerate(line().split()))
+                       for _ in range(20))
+    once = "\n".join([line() for _ in range(18)] + ["one two", line(), "one two"])
+    few = clean[0][1].replace(" ", " & ", 6)
+    out = {r["doc_id"]: r for r in quality.judge(make(spark, clean + [
+        (1001, half, "en", "s1"), (1002, marked, "en", "s1"), (1003, once, "en", "s1"),
+        (1004, few, "en", "s1")])).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert {d for d, r in out.items() if not r["kept"]} == {1001, 1002}
+
+
 def test_quality_empty(no_docs):
     assert quality.judge(no_docs).count() == 0 and quality.keep_documents(no_docs).count() == 0
 
