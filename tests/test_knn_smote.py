@@ -89,3 +89,17 @@ def test_smote_makes_the_rows_due_despite_null_coordinates(spark):
     n_min = sum(r[3] for r in rows)
     assert out.where("synthetic = 1").count() == int((2000 - n_min) * 0.5 - n_min)
     assert out.where("synthetic = 1 AND (a IS NULL OR b IS NULL)").count() == 0
+
+
+def test_input_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return i, float(i % 17), float(i * 7 % 23), int(i % 5 == 0)
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(200), 4).map(row),
+                               "id long, a double, b double, loan_status long")
+    from credora.operators import knn
+    assert knn.smote(df, ["a", "b"]).where("synthetic = 1").count() == 40
+    assert seen.value == 200
