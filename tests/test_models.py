@@ -62,3 +62,16 @@ def test_parallel_folds_equal_sequential(spark, loans_small):
     seq = boosted.cross_val_auc(prep, s.feature_cols, make, k=3, max_parallel=1).collect()
     par = boosted.cross_val_auc(prep, s.feature_cols, make, k=3).collect()
     assert [tuple(r) for r in seq] == [tuple(r) for r in par]
+
+
+def test_assembled_rows_fit_and_score_alike(loans_small):
+    from credora.plans import boosted
+
+    cols = ["loan_percent_income", "loan_int_rate", "cb_person_cred_hist_length"]
+    make = lambda: boosted.gbt_estimator("loan_status", "subsampled", maxIter=3)
+    rows = boosted.assembled(loans_small, cols, ["id", "loan_status"], [make()])
+    assert rows.columns == ["id", "loan_status", "features"]
+    plain, ready = (boosted.fit_pipeline(df, cols, make()) for df in (loans_small, rows))
+    a, b = boosted.predict(plain, loans_small, keep=["id"]), boosted.predict(ready, rows, keep=["id"])
+    assert a.count() == loans_small.count() and a.exceptAll(b).count() == 0
+    assert boosted.predict(ready, loans_small, keep=["id"]).exceptAll(b).count() == 0
