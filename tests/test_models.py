@@ -69,7 +69,7 @@ def test_assembled_rows_fit_and_score_alike(loans_small):
 
     cols = ["loan_percent_income", "loan_int_rate", "cb_person_cred_hist_length"]
     make = lambda: boosted.gbt_estimator("loan_status", "subsampled", maxIter=3)
-    rows = boosted.assembled(loans_small, cols, ["id", "loan_status"], [make()])
+    rows = boosted.assembled(loans_small.select("id", *cols, "loan_status"), cols, ["id"], [make()])
     assert rows.columns == ["id", "loan_status", "features"]
     plain, ready = (boosted.fit_pipeline(df, cols, make()) for df in (loans_small, rows))
     a, b = boosted.predict(plain, loans_small, keep=["id"]), boosted.predict(ready, rows, keep=["id"])
