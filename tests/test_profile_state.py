@@ -79,3 +79,12 @@ def test_states_by_group(df):
     one = profile.describe(df.where("day = 1"), ["b"]).first()
     got = by_day.where("day = 1 AND feature = 'b'").first()
     assert (got["count"], got["max"]) == (one["count"], one["max"]) and got["mean"] == pytest.approx(one["mean"])
+
+
+def test_sketches_of_many_parts_merge_few(spark, df, monkeypatch):
+    parts, kind = [], type(df)
+    agg = kind.agg
+    monkeypatch.setattr(kind, "agg", lambda d, *a: parts.append(d.rdd.getNumPartitions()) or agg(d, *a))
+    many = wide_quantiles(df.repartition(50), list("abce"), [0.5])
+    assert parts and parts[0] <= 16
+    assert many == wide_quantiles(df, list("abce"), [0.5])
