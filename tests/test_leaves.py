@@ -60,6 +60,15 @@ def test_refit_equals_numpy(frames, fitted, monkeypatch, block):
     assert [scores[i] for i in sorted(scores)] == pytest.approx((1 / (1 + np.exp(-f))).tolist())
 
 
+def test_refit_writes_the_leaves_of_all_trees_once(frames, fitted, monkeypatch):
+    written, kind = [], type(frames[0])
+    checkpoint = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, *a: written.append(dict(df.dtypes)) or checkpoint(df, *a))
+    monkeypatch.setattr(leaves, "BLOCK", 2)
+    leaves.refit_leaves(fitted, frames[0])
+    assert [w["leaves"] for w in written] == ["array<tinyint>"] + ["binary"] * 5
+
+
 def test_stronger_regularisation_shrinks_leaves(frames, fitted):
     small, large = (leaves.refit_leaves(fitted, frames[0], l2=x).values for x in (0.1, 50.0))
     assert np.abs(large[0]).max() < np.abs(small[0]).max()
