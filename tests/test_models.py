@@ -64,6 +64,27 @@ def test_parallel_folds_equal_sequential(spark, loans_small):
     assert [tuple(r) for r in seq] == [tuple(r) for r in par]
 
 
+def test_fits_get_a_part_for_each_core(spark, loans_small):
+    from credora.plans import boosted
+
+    cols = ["loan_percent_income", "loan_int_rate"]
+    many = loans_small.repartition(23)
+    rows = boosted.assembled(many, cols, ["loan_status"], [boosted.gbt_estimator()])
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert rows.count() == many.count()
+    assert [boosted.n_parts(n, 12) for n in (0, 5, 12_000_000, 12_000_001, 42_000_000)] == [12, 12, 12, 24, 48]
+
+
+def test_meta_model_reads_written_scores(loans_small, monkeypatch):
+    from credora.plans import boosted, stack
+
+    fitted, fit = [], stack.fit_pipeline
+    monkeypatch.setattr(stack, "fit_pipeline", lambda df, *a: fitted.append(df.columns) or fit(df, *a))
+    few = lambda: boosted.gbt_estimator("loan_status", "a", maxIter=1, maxDepth=2)
+    stack.stack_fit(loans_small, ["loan_percent_income", "loan_int_rate"], learners={"one": few}, meta_factory=few, k=2)
+    assert all("features" in columns for columns in fitted)
+
+
 def test_assembled_rows_fit_and_score_alike(loans_small):
     from credora.plans import boosted
 
