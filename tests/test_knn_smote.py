@@ -103,3 +103,36 @@ def test_input_is_computed_once(spark):
     from credora.operators import knn
     assert knn.smote(df, ["a", "b"]).where("synthetic = 1").count() == 40
     assert seen.value == 200
+
+
+def test_blocks_do_not_grow_with_the_rows(spark):
+    """Groups that share a block, and boxes that a bound touches, stay as many for 16 times the rows."""
+    from credora.operators.knn import LEAF_SAMPLE, _cut_tree, _descend, _sq_dists, _sq_to_boxes
+
+    touched = []
+    for n in (2_000, 32_000):
+        x = np.random.default_rng(n).normal(size=(n, 3)) * [1, 5, 0]
+        x[::7, 1] = 2.0                                  # a value that many rows share
+        tree = _cut_tree(x)
+        cell = _descend(x, tree)
+        sizes = np.bincount(cell)
+        assert sizes.min() >= 1 and sizes.max() <= LEAF_SAMPLE and sizes.sum() == n
+        low = np.array([x[cell == c].min(axis=0) for c in range(len(sizes))])
+        high = np.array([x[cell == c].max(axis=0) for c in range(len(sizes))])
+        some = x[:: n // 200]
+        d2 = _sq_dists(some, x)
+        gap = _sq_to_boxes(some, low, high)
+        assert all((gap[:, c] <= d2[:, cell == c].min(axis=1)).all() for c in range(0, len(sizes), 17))
+        touched.append((gap <= np.partition(d2, 5, axis=1)[:, 5, None]).sum(axis=1).mean())
+    assert touched[1] < 1.5 * touched[0]
+
+
+def test_knn_skips_rows_with_a_nan_and_finds_all_others(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 2))
+    rows = [(int(i), *map(float, x)) for i, x in enumerate(X)] + [(1000 + i, float("nan"), 0.5) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    got = {}
+    for r in knn(df, ["a", "b"], 3, max_cell=50).collect():
+        got.setdefault(r["id"], []).append((r["nn_rank"], r["nn_id"]))
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == _brute(list(range(300)), X, 3)
