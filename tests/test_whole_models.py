@@ -32,3 +32,13 @@ def test_oof_scores_fits_whole_learners(spark, monkeypatch, asked):
         queries.q_oof_scores(spark, "")
     args, kwargs = e.value.args
     assert sizes(args[2]) == {"gbt": 400, "gbt6": 400, "forest": 100} and kwargs["k"] == 5
+
+
+def test_stack_fits_whole_learners(spark, monkeypatch, asked):
+    monkeypatch.setattr(queries.stack_plan, "stack_fit", asked)
+    for query in (queries.q_stack_fit, queries.q_stack_predict):
+        with pytest.raises(Asked) as e:
+            query(spark, "")
+        args, kwargs = e.value.args
+        assert sizes(args[3]) == {"gbt": 400, "gbt6": 400, "forest": 100} and kwargs["k"] == 5
+        assert args[4]().getMaxIter() == boosted.PRESETS["meta"]["maxIter"] == 400
