@@ -42,3 +42,12 @@ def test_stack_fits_whole_learners(spark, monkeypatch, asked):
         args, kwargs = e.value.args
         assert sizes(args[3]) == {"gbt": 400, "gbt6": 400, "forest": 100} and kwargs["k"] == 5
         assert args[4]().getMaxIter() == boosted.PRESETS["meta"]["maxIter"] == 400
+
+
+def test_system_predict_fits_all_trees(spark, monkeypatch, asked):
+    monkeypatch.setattr(queries.CreditSystem, "train", asked)
+    with pytest.raises(Asked) as e:
+        queries.q_system_predict(spark, "")
+    system = e.value.args[0][0]
+    est = boosted.gbt_estimator(system.label, system.preset, system.seed, **system.model_params)
+    assert system.best_prefix and est.getMaxIter() == 900
